@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from flowlake.session import cut_lineage
+
 #: Largest side that is turned into a local relation.
 MAX_LOCAL_ROWS = 100_000
 
@@ -12,10 +14,10 @@ def localized(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     """``df`` as a local relation of known size when it has at most ``max_rows`` rows.
 
     Spark then knows the exact size of the side and broadcasts it under its own threshold,
-    and the aggregate behind it is not computed a second time.  A larger ``df`` is returned
-    unchanged, so the join becomes a shuffled one with run-time skew handling.
+    and the aggregate behind it is not computed a second time.  A larger ``df`` is stored in
+    the shared folder and joined by shuffle, with run-time skew handling.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return df
+        return cut_lineage(df)
     return df.sparkSession.createDataFrame(head, schema=df.schema)

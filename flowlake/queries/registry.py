@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.queries import cleaning
+from flowlake.queries import cleaning, flows
 
-_MODULES = (cleaning,)
+_MODULES = (cleaning, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
