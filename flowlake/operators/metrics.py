@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.scalars import name, ratio
+from flowlake.plans.bounded import localized
 from flowlake.plans.ordered import running_before
 
 #: Scores are probabilities; 4096 score ranges bound what one task sorts per class.
@@ -142,3 +143,9 @@ def fold_f1(df: DataFrame, fold: str, y: str, yhat: str) -> DataFrame:
 def labels_of(df: DataFrame, label: str) -> Sequence[str]:
     """Sorted distinct classes (a short list by nature)."""
     return [r[0] for r in df.select(name(label)).distinct().orderBy(name(label)).collect()]
+
+
+def attach_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Rows with the balanced weight of their class."""
+    weights = localized(class_weights(df, label).select(name(label), F.col("weight").alias(out)))
+    return df.join(weights, [label]).select(*[name(c) for c in df.columns], out)

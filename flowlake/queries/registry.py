@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.queries import cleaning, flows
+from flowlake.queries import cleaning, evaluation, flows, splitting
 
-_MODULES = (cleaning, flows)
+_MODULES = (cleaning, splitting, evaluation, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
