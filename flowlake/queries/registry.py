@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.queries import cleaning, evaluation, flows, splitting
+from flowlake.queries import cleaning, evaluation, flows, learning, splitting
 
-_MODULES = (cleaning, splitting, evaluation, flows)
+_MODULES = (cleaning, splitting, evaluation, flows, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
