@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.scalars import name, ratio
@@ -18,11 +18,10 @@ SCORE_RANGES = 4096
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, weight)`` with balanced weight ``rows / (classes * n)``."""
     counts = df.groupBy(name(label)).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("_rows"), F.count("*").alias("_classes"))
-    # One row meets one row per class; the totals side is a single-row aggregate.
-    return (counts.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
-            .select(name(label), "n",
-                    (F.col("_rows").cast("double") / (F.col("_classes") * F.col("n"))).alias("weight")))
+    every = Window.partitionBy(F.lit(0))  # one row per class
+    return counts.select(name(label), "n", (
+        F.sum("n").over(every).cast("double") / (F.count("*").over(every) * F.col("n")))
+        .alias("weight"))
 
 
 def confusion(df: DataFrame, y: str, yhat: str) -> DataFrame:

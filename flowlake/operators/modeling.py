@@ -11,12 +11,13 @@ from pyspark.ml.classification import (
     GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.scalars import finite, name
 from flowlake.operators import scoring
 from flowlake.operators.splits import SEED, row_hash
+from flowlake.plans.bounded import localized
 
 # Defaults of the two model families and the preset for foreign data sets.
 BOOSTED = {"max_depth": 6, "n_estimators": 100, "learning_rate": 0.1}
@@ -152,7 +153,6 @@ def evaluate_rows(clf: Classifier, test: DataFrame, label: str) -> DataFrame:
 
 def unseen_labels(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Test classes that training lacks, with their row counts."""
-    from flowlake.plans.bounded import localized
     seen = localized(train.select(name(label)).distinct())
     return (test.groupBy(name(label)).agg(F.count("*").alias("n"))
             .join(seen, [label], "left_anti"))
@@ -206,7 +206,6 @@ def attribution(clf: Classifier, df: DataFrame, key: Sequence[str], n: int = ATT
 
 def _by_key(key: Sequence[str]):
     # The sample has at most ATTRIBUTION_ROWS rows, so one task may number them.
-    from pyspark.sql import Window
     return Window.orderBy(*key)
 
 

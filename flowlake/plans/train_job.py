@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlake import schema as S
 from flowlake.functions.scalars import name, safe_label
@@ -142,23 +143,22 @@ def experiment_record(spark: SparkSession, df: DataFrame, cfg: TrainConfig, out:
     """One nested row that describes a run."""
     cv = [s for _, s in out.cv_scores]
     shown = {**(MD.BOOSTED if cfg.kind == "boosted" else MD.FOREST), **out.params}
-    base = spark.createDataFrame(
-        [(datetime.now(timezone.utc).isoformat(), cfg.kind, MD.parameters_json(shown),
-          cfg.strategy, cfg.tune, out.n_train, out.n_test, out.classifier.labels,
-          {k: float(v) for k, v in out.metrics.items() if v is not None},
-          {k: (v["precision"], v["recall"], v["f1"], v["support"]) for k, v in out.per_class.items()},
-          sum(cv) / len(cv) if cv else None, dataset_path, cfg.class_weights, cfg.drop_port,
-          cfg.drop_env, cfg.hardened)],
+    chosen = out.selector.summary(spark)
+    layout = T.StructType.fromDDL(
         "timestamp string, model_type string, params map<string,string>, split_strategy string, "
         "tune_method string, n_train long, n_test long, classes array<string>, "
         "metrics map<string,double>, "
         "per_class map<string,struct<precision:double,recall:double,f1:double,support:bigint>>, "
-        "cv_f1_macro double, dataset_path string, class_weights boolean, drop_port boolean, "
-        "drop_env_features boolean, hardened_hp boolean")
-    chosen = out.selector.summary(spark)
-    print_ = fingerprint(df).first()
-    return base.join(chosen.select(F.struct("*").alias("feature_selection")), how="cross").withColumn(
-        "dataset_hash", F.lit(print_["fingerprint"]))
+        "cv_f1_macro double, dataset_path string, dataset_hash string, class_weights boolean, "
+        "drop_port boolean, drop_env_features boolean, hardened_hp boolean"
+    ).add("feature_selection", chosen.schema)
+    return spark.createDataFrame(
+        [(datetime.now(timezone.utc).isoformat(), cfg.kind, MD.parameters_json(shown),
+          cfg.strategy, cfg.tune, out.n_train, out.n_test, out.classifier.labels,
+          {k: float(v) for k, v in out.metrics.items() if v is not None},
+          {k: (v["precision"], v["recall"], v["f1"], v["support"]) for k, v in out.per_class.items()},
+          sum(cv) / len(cv) if cv else None, dataset_path, fingerprint(df).first()["fingerprint"],
+          cfg.class_weights, cfg.drop_port, cfg.drop_env, cfg.hardened, chosen.first())], layout)
 
 
 def run(spark: SparkSession, df: DataFrame, cfg: TrainConfig, folder: str,
@@ -189,7 +189,6 @@ def compare(df: DataFrame, runs: Iterable[tuple[str, TrainConfig]]) -> DataFrame
 
 def generalisation(df: DataFrame, cfg: TrainConfig, strategies: Sequence[str]) -> DataFrame:
     """Macro F1 per split strategy and its distance from the first one."""
-    from dataclasses import replace
     out = compare(df, [(s, replace(cfg, strategy=s)) for s in strategies])
     first = out.where(F.col("run") == strategies[0]).first()["f1_macro"]
     return out.withColumn("gap", F.lit(first) - F.col("f1_macro"))
@@ -197,7 +196,6 @@ def generalisation(df: DataFrame, cfg: TrainConfig, strategies: Sequence[str]) -
 
 def ablation(df: DataFrame, cfg: TrainConfig) -> DataFrame:
     """With and without the port, without environment features, with the hardened preset."""
-    from dataclasses import replace
     return compare(df, [("full", cfg), ("without port", replace(cfg, drop_port=True)),
                         ("without environment", replace(cfg, drop_env=True)),
                         ("hardened", replace(cfg, drop_env=True, hardened=True))])
