@@ -29,13 +29,13 @@ def is_infinite(x: Column) -> Column:
 
 
 def is_finite(x: Column) -> Column:
-    d = x.cast("double")
-    return d.isNotNull() & ~F.isnan(d) & ~is_infinite(d)
+    """False for null, NaN and both infinities (NaN sorts above infinity)."""
+    return F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False))
 
 
 def finite_or_null(x: Column) -> Column:
     """NaN and both infinities become null."""
-    return F.when(is_finite(x), x)
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def finite(x: Column, default: float = 0.0) -> Column:

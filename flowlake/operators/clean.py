@@ -53,9 +53,18 @@ def nullify_infinite(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Rows with a null in any column, metadata included, are removed."""
-    keep = [c for c in df.columns if c not in POSITION]
-    return df.na.drop("any", subset=[f"`{c}`" if "." in c else c for c in keep])
+    """Rows with a null or NaN in any column, metadata included, are removed.
+
+    One condition per column: a single condition over all of them makes the optimizer's
+    constraint inference exponential in the number of computed columns.
+    """
+    fractional = set(_fractional(df))
+    for c in df.columns:
+        if c not in POSITION:
+            df = df.where(name(c).isNotNull())
+            if c in fractional:
+                df = df.where(~F.isnan(name(c)))
+    return df
 
 
 def drop_identifiers(df: DataFrame) -> DataFrame:

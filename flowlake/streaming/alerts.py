@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,11 +55,15 @@ def alert_sink(clf: Classifier, path: str, only_non_benign: bool = False,
                ) -> Callable[[DataFrame, int], None]:
     """Score, filter and write JSON lines; unusable flows go to the quarantine folder."""
     def write(flows: DataFrame, batch: int) -> None:
-        good, bad = split_valid(flows)
-        if quarantine:
-            bad.write.mode("overwrite").json(f"{quarantine}/batch={batch}")
-        kept = scoring.alerts(clf.score(good, digits=6), only_non_benign, min_confidence)
-        scoring.to_alert_json(kept).write.mode("overwrite").text(f"{path}/batch={batch}")
+        flows = flows.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
+        try:
+            good, bad = split_valid(flows)
+            if quarantine:
+                bad.write.mode("overwrite").json(f"{quarantine}/batch={batch}")
+            kept = scoring.alerts(clf.score(good, digits=6), only_non_benign, min_confidence)
+            scoring.to_alert_json(kept).write.mode("overwrite").text(f"{path}/batch={batch}")
+        finally:
+            flows.unpersist()
     return write
 
 
