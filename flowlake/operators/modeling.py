@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier)
@@ -134,8 +135,13 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind:
     """Fit on rows that carry ``weight`` where ``weighted``; classes come from these rows."""
     indexer = encode_labels(train, label)
     columns = [FEATURES, LABEL] + ([WEIGHT] if weighted else [])
-    rows = indexer.transform(assemble(train, features)).select(*columns)
-    model = build_model(kind, len(indexer.labels), params, weighted).fit(rows)
+    # Boosting passes over these rows once per tree level and class.
+    rows = (indexer.transform(assemble(train, features)).select(*columns)
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        model = build_model(kind, len(indexer.labels), params, weighted).fit(rows)
+    finally:
+        rows.unpersist()
     return Classifier(model, list(features), list(indexer.labels))
 
 

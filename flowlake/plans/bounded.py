@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowlake.session import cut_lineage
@@ -10,6 +11,14 @@ from flowlake.session import cut_lineage
 MAX_LOCAL_ROWS = 100_000
 
 
+def localized_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """:func:`localized` with the rows themselves, where they are few."""
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return cut_lineage(df), None
+    return df.sparkSession.createDataFrame(head, schema=df.schema), head
+
+
 def localized(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     """``df`` as a local relation of known size when it has at most ``max_rows`` rows.
 
@@ -17,7 +26,4 @@ def localized(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     and the aggregate behind it is not computed a second time.  A larger ``df`` is stored in
     the shared folder and joined by shuffle, with run-time skew handling.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return cut_lineage(df)
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
+    return localized_table(df, max_rows)[0]

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.plans.bounded import localized
+from flowlake.plans.bounded import localized, localized_table
 
 #: ``row_ord`` is dense inside a file split, so ``row_ord >> 20`` holds at most 2**20 rows.
 ROW_SHIFT = 20
@@ -52,13 +52,16 @@ def rank_cuts(df: DataFrame, group: Sequence[str], order: Sequence[str], targets
     if counts is None:
         counts = chunk_counts(df, group, order, shift)
     w = Window.partitionBy(*group).orderBy("_chunk")
-    hit = localized(
+    hit, found_rows = localized_table(
         counts.withColumn("_end", F.sum("_n").over(w))
         .join(targets, group)
         .where("rank >= 1 and rank > _end - _n and rank <= _end")
         .select(*group, "_chunk", "cut_id", F.expr("rank - (_end - _n)").alias("_within"), "_n"))
     chunk = F.shiftright(F.col(order[0]), shift)
-    largest = hit.agg(F.max("_n")).first()[0]
+    if found_rows is None:
+        largest = hit.agg(F.max("_n")).first()[0]
+    else:
+        largest = max(found_rows["_n"].to_pylist(), default=None)
     rows = (df.select(*group, *order, chunk.alias("_chunk"))
               .join(hit.select(*group, "_chunk").distinct(), group + ["_chunk"], "left_semi"))
     if largest is not None and largest > max_chunk_rows and shift > 0:

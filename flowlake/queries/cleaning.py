@@ -28,16 +28,14 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_flows(spark: SparkSession, d: str) -> DataFrame:
-    out = C.drop_rare_classes(C.group_labels(cleaned(spark, d), S.label_map(spark)),
-                              min_count=RARE_BELOW)
+    out = clean_job.clean_flows(headerless(spark, d), RARE_BELOW, drop_duplicate_columns=False)
     return out.select("Label", *[grid(F.col(c), 4).alias(c) for c in ("q", "l_discount", "l_tax")],
                       "Source_File", "Dataset", S.ROW_ORD, name("Attack Type"))
 
 
 def class_balance(spark: SparkSession, d: str) -> DataFrame:
     """Clean, group, drop rare classes, then size and weight of each class."""
-    rows = C.drop_rare_classes(C.group_labels(cleaned(spark, d), S.label_map(spark)),
-                               min_count=RARE_BELOW)
+    rows = clean_job.clean_flows(headerless(spark, d), RARE_BELOW, drop_duplicate_columns=False)
     return class_weights(rows, "Attack Type").select(
         name("Attack Type"), "n", grid(F.col("weight")).alias("weight"))
 

@@ -122,12 +122,12 @@ def alert_json(spark: SparkSession, d: str) -> DataFrame:
         F.lit("h2").alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"),
         F.lit("TCP").alias("protocol"), (F.col("l_quantity") / 7).alias("duration_s"),
         F.col(S.ROW_ORD).alias("packets"), "prediction", "confidence", "probabilities")
-    text = SC.to_alert_json(p)
-    return text.select(*[F.get_json_object("value", f"$.{k}").alias(k)
-                         for k in ("ts", "proto", "prediction")],
-                       F.get_json_object("value", "$.packets").cast("long").alias("packets"),
-                       grid(F.get_json_object("value", "$.duration_s").cast("double"), 4).alias("duration_s"),
-                       grid(F.get_json_object("value", "$.probabilities.DoS").cast("double"), 4).alias("dos"))
+    layout = ("ts string, proto string, prediction string, packets long, duration_s double, "
+              "probabilities map<string,double>")
+    back = SC.to_alert_json(p).select(F.from_json("value", layout).alias("a")).select("a.*")
+    return back.select("ts", "proto", "prediction", "packets",
+                       grid(F.col("duration_s"), 4).alias("duration_s"),
+                       grid(F.col("probabilities")["DoS"], 4).alias("dos"))
 
 
 def prediction_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,7 @@ def flows(spark):
     return df.cache()
 
 
-def test_parameter_names():
+def test_parameter_names(spark):
     rf = MD.build_model("forest", 3, {"colsample_bytree": 0.5, "reg_alpha": 1})
     assert rf.getNumTrees() == 200 and rf.getMaxDepth() == 30
     assert rf.getFeatureSubsetStrategy() == "0.5"
