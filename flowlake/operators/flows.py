@@ -252,3 +252,8 @@ def flow_summary(assigned: DataFrame) -> DataFrame:
     return g.select("flow_id", *flow_columns(),
                     ((F.col("_hi") - F.col("_lo")) / 1e6).alias("duration_s"), "packets",
                     F.timestamp_micros("_hi").alias("end_time"))
+
+
+def first_flows(summary: DataFrame, n: int) -> DataFrame:
+    """The ``n`` flows that ended first."""
+    return summary.orderBy("end_time", "flow_id").limit(n)

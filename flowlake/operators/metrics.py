@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from flowlake.functions.scalars import name, ratio
 from flowlake.plans.bounded import localized
 from flowlake.plans.ordered import running_before
-
-#: Scores are probabilities; 4096 score ranges bound what one task sorts per class.
-SCORE_RANGES = 4096
-
+from flowlake.session import cut_lineage
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, weight)`` with balanced weight ``rows / (classes * n)``."""
@@ -85,28 +82,14 @@ def classification_report(cm: DataFrame) -> DataFrame:
     return out
 
 
-def _auc(scores: DataFrame, low: Column, width: Column) -> DataFrame:
-    """AUC per class from ``(label, score, pos, neg)``, one row per distinct score."""
-    place = F.least(F.greatest(F.floor((F.col("score") - low) / width), F.lit(0)),
-                    F.lit(SCORE_RANGES - 1))
-    ranked = running_before(scores, ["label"], place, ["score"], ["neg"])
-    area = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2.0))
-    return ranked.groupBy("label").agg(
-        area.alias("_area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).select(
-            "label", "n_pos", "n_neg",
-            F.try_divide(F.col("_area"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
-
-
-def roc_auc_ovr(df: DataFrame, y: str, scores: dict[str, Column] | Column,
-                low: float = 0.0, high: float = 1.0) -> DataFrame:
+def roc_auc_ovr(df: DataFrame, y: str, scores: dict[str, Column]) -> DataFrame:
     """One-versus-rest AUC of each class that truly occurs: ``(label, n_pos, n_neg, auc)``.
 
-    ``scores`` maps each class to its score column; ``[low, high]`` only steers the split
-    into score ranges.  Equal scores are summed before anything is ordered, so a score
-    shared by most rows is one row here.
+    ``scores`` maps each class to its score column.  Equal scores are summed before anything
+    is ordered, so a score shared by most rows is one row here.  The distinct scores are cut
+    into ranges by Spark's range partitioning, which follows their distribution; the ranges
+    are stored, so that the totals and the ranks see the same ones.
     """
-    if not isinstance(scores, dict):
-        raise TypeError("scores must map class names to columns")
     entries = F.array(*[F.struct(F.lit(k).alias("label"), c.cast("double").alias("score"))
                         for k, c in scores.items()])
     long = (df.select(name(y).alias("_y"), F.explode(entries).alias("e"))
@@ -114,8 +97,15 @@ def roc_auc_ovr(df: DataFrame, y: str, scores: dict[str, Column] | Column,
     hist = long.groupBy("label", "score").agg(
         F.count_if(F.col("_y") == F.col("label")).alias("pos"),
         F.count_if(F.col("_y") != F.col("label")).alias("neg"))
-    width = F.lit((high - low) / SCORE_RANGES)
-    return _auc(hist, F.lit(low), width).where("n_pos > 0")
+    ranges = cut_lineage(hist.repartitionByRange("label", "score")
+                         .withColumn("range", F.spark_partition_id()))
+    ranked = running_before(ranges, ["label"], F.col("range"), ["score"], ["neg"])
+    area = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2.0))
+    total = ranked.groupBy("label").agg(
+        area.alias("_area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return total.where("n_pos > 0").select(
+        "label", "n_pos", "n_neg",
+        F.try_divide(F.col("_area"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
 
 
 def roc_auc_macro(per_class: DataFrame) -> DataFrame:

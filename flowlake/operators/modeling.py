@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlake.functions.scalars import finite, name
+from flowlake.functions.scalars import finite, name, number
 from flowlake.operators import scoring
 from flowlake.operators.splits import SEED, row_hash
 from flowlake.plans.bounded import localized
@@ -69,8 +69,10 @@ def build_model(kind: str, n_classes: int, params: Mapping[str, float] | None =
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add the feature vector; null and non-finite values enter it as 0."""
-    return df.withColumn(FEATURES, array_to_vector(F.array(*[finite(name(c)) for c in features])))
+    """Add the feature vector; null, unreadable and non-finite values enter it as 0."""
+    text = {c for c, kind in df.dtypes if kind == "string"}
+    values = [finite(number(name(c)) if c in text else name(c)) for c in features]
+    return df.withColumn(FEATURES, array_to_vector(F.array(*values)))
 
 
 def encode_labels(train: DataFrame, label: str):

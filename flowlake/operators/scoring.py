@@ -71,6 +71,13 @@ def prediction_counts(df: DataFrame, prediction: str = "prediction") -> DataFram
             .orderBy(F.desc("n"), "Prediction"))
 
 
+def head_of_predictions(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The first rows by position, for a look at the result."""
+    shown = [c for c in df.columns if c in ("Prediction", "prediction", "confidence")
+             or c.startswith("Probability_")]
+    return df.orderBy(*order).limit(n).select(*[name(c) for c in [*order, *shown]])
+
+
 def alerts(df: DataFrame, only_non_benign: bool = False, min_confidence: float = 0.0) -> DataFrame:
     """Hide benign predictions and those below the confidence; batch or stream."""
     if only_non_benign:

@@ -33,9 +33,9 @@ def clean_flows(spark: SparkSession, d: str) -> DataFrame:
                       "Source_File", "Dataset", S.ROW_ORD, name("Attack Type"))
 
 
-def class_balance(spark: SparkSession, d: str) -> DataFrame:
+def class_balance(spark: SparkSession, d: str, min_count: int = RARE_BELOW) -> DataFrame:
     """Clean, group, drop rare classes, then size and weight of each class."""
-    rows = clean_job.clean_flows(headerless(spark, d), RARE_BELOW, drop_duplicate_columns=False)
+    rows = clean_job.clean_flows(headerless(spark, d), min_count, drop_duplicate_columns=False)
     return class_weights(rows, "Attack Type").select(
         name("Attack Type"), "n", grid(F.col("weight")).alias("weight"))
 

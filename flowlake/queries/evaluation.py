@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake import schema as S
-from flowlake.functions.scalars import iso_utc, name
+from flowlake.functions.scalars import name
 from flowlake.operators import metrics as M
 from flowlake.operators import scoring as SC
 from flowlake.operators import splits as SP
+from flowlake.operators.clean import number
 from flowlake.queries.bindings import (
     LINEITEM_SQL, RAW_SQL, grid, grid_sql, lineitem, raw_flows, table)
 from flowlake.queries.cleaning import headerless
@@ -84,7 +85,6 @@ def row_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def impute_score_input(spark: SparkSession, d: str) -> DataFrame:
     """Identifier and label columns out, text read, every gap 0, features in model order."""
-    from flowlake.operators.clean import number
     raw = raw_flows(spark, d).withColumn("q", number(F.col("q"))).withColumn("Src IP", F.lit("x"))
     keyed = raw.withColumn("_key", F.col(S.ROW_ORD))
     out = SC.align_features(SC.impute_scoring(SC.drop_for_scoring(keyed)),
@@ -134,12 +134,20 @@ def prediction_summary(spark: SparkSession, d: str) -> DataFrame:
     return SC.prediction_counts(predictions(spark, d))
 
 
+def prediction_head(spark: SparkSession, d: str) -> DataFrame:
+    wide = SC.probability_columns(predictions(spark, d), "p", ["Normal Traffic", "DoS", "Web Attacks/X"])
+    out = SC.head_of_predictions(wide, [S.ROW_ORD])
+    return out.select(*[grid(F.col(c), 4).alias(c) if kind == "double" else F.col(c)
+                        for c, kind in out.dtypes])
+
+
 QUERIES = {
     "confusion": confusion, "per_class": per_class, "summary_metrics": summary_metrics,
     "report": report, "roc_auc_ovr": roc_auc_ovr, "roc_auc_macro": roc_auc_macro,
     "fold_summary": fold_summary, "class_weights": class_weights, "row_weights": row_weights,
     "impute_score_input": impute_score_input, "alerts": alerts, "top_probs": top_probs,
     "alert_json": alert_json, "prediction_summary": prediction_summary,
+    "prediction_head": prediction_head,
 }
 
 _RULED = f"""{LINEITEM_SQL}, r AS (SELECT l_returnflag AS y, {_RULE} AS yhat, "Source_File" FROM li)"""
@@ -229,4 +237,8 @@ SELECT strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS ts, 'TCP' AS proto, predict
        {grid_sql('round(l_quantity / 7, 6)', 4)} AS duration_s, {grid_sql('p1', 4)} AS dos
 FROM best WHERE prediction <> 'Normal Traffic'""",
     "prediction_summary": f"""WITH {_PRED} SELECT prediction AS "Prediction", count(*) AS n FROM best GROUP BY 1""",
+    "prediction_head": f"""WITH {_PRED}
+SELECT row_ord, prediction, {grid_sql('confidence', 4)} AS confidence, {grid_sql('p0', 4)} AS "Probability_Normal_Traffic",
+       {grid_sql('p1', 4)} AS "Probability_DoS", {grid_sql('p2', 4)} AS "Probability_Web_Attacks_X"
+FROM best ORDER BY row_ord LIMIT 10""",
 }

@@ -65,6 +65,11 @@ def flow_summary(spark: SparkSession, d: str) -> DataFrame:
                     F.unix_micros("end_time").alias("end_us"))
 
 
+def first_flows(spark: SparkSession, d: str) -> DataFrame:
+    return FL.first_flows(FL.flow_summary(assigned(spark, d)), 100).select(
+        "flow_id", "packets", F.unix_micros("end_time").alias("end_us"))
+
+
 def flow_features(spark: SparkSession, d: str) -> DataFrame:
     return on_grid(features(spark, d))
 
@@ -75,7 +80,7 @@ def feature_contract(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "flow_keys": flow_keys, "packet_filter": packet_filter, "flow_segments": flow_segments,
-    "flow_assembly": flow_assembly, "flow_summary": flow_summary, "flow_features": flow_features,
+    "flow_assembly": flow_assembly, "flow_summary": flow_summary, "first_flows": first_flows, "flow_features": flow_features,
     "feature_contract": feature_contract,
 }
 
@@ -204,6 +209,8 @@ SELECT flow_id, 'h' || lpad(CAST(s AS VARCHAR), 2, '0') AS src_ip,
        'h' || lpad(CAST(d AS VARCHAR), 2, '0') AS dst_ip, 1000 + s AS src_port, 1000 + d AS dst_port,
        CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, {grid_sql('dur / 1e6')} AS duration_s,
        packets, end_us FROM g""",
+    "first_flows": f"""WITH RECURSIVE {_ASSIGNED_SQL}
+SELECT flow_id, count(*) AS packets, max(us) AS end_us FROM f GROUP BY 1 ORDER BY end_us, flow_id LIMIT 100""",
     "flow_features": FEATURES_ON_GRID_SQL,
     "feature_contract": f"""WITH RECURSIVE {_ASSIGNED_SQL}, n AS (SELECT count(DISTINCT flow_id) AS n_flows FROM f)
 SELECT feature, 'present' AS status, true AS in_order, CAST(0 AS BIGINT) AS non_finite, n_flows

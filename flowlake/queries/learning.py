@@ -115,6 +115,10 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return J.score_table(MD.Classifier.load(spark, folder), rows.drop(MD.WEIGHT))
 
 
+def sample(spark: SparkSession, d: str) -> DataFrame:
+    return MD.sample_rows(labelled(spark, d), MD.ATTRIBUTION_ROWS, ["Source_File", S.ROW_ORD])
+
+
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return J.fingerprint(table(spark, d, "lineitem"))
 
@@ -137,7 +141,7 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "train_forest": train_forest, "train_boosted": train_boosted, "train_binary": train_binary,
     "cv_scores": cv_scores, "search": search, "importance": importance,
-    "attribution": attribution, "scored": scored, "fingerprint": fingerprint,
+    "attribution": attribution, "scored": scored, "fingerprint": fingerprint, "sample": sample,
     "unseen_labels": unseen_labels, "generalisation": generalisation, "ablation": ablation,
 }
 
