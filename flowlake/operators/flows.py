@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import scalars as X
-from flowlake.plans.bounded import localized
+from flowlake.plans.bounded import localized, localized_table
 from flowlake.plans.ordered import running_before
 from flowlake.session import cut_lineage
 
@@ -111,12 +111,9 @@ def _segment() -> Column:
 def _fold_starts(rows: DataFrame, active_us: int) -> DataFrame:
     """First packets after an active cut, segment by segment: ``(pair, start)``.
 
-    Each cut moves the clock for the next one, so a segment is walked in order.  Only
-    segments that last long enough to be cut are walked.
+    Each cut moves the clock for the next one, so a segment is walked in order.
     """
-    seg = (rows.groupBy(*PAIR, "seg").agg(F.collect_list(_mark()).alias("ms"))
-           .where(F.array_max("ms")["us"] - F.col("seg.us") >= active_us)
-           .withColumn("ms", F.array_sort("ms")))
+    seg = rows.groupBy(*PAIR, "seg").agg(F.array_sort(F.collect_list(_mark())).alias("ms"))
     state = f"struct<begin:bigint,cut:boolean,starts:array<{_MARK}>>"
     zero = F.struct(F.col("seg.us").alias("begin"), F.lit(False).alias("cut"),
                     F.array().cast(f"array<{_MARK}>").alias("starts")).cast(state)
@@ -186,9 +183,12 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | N
     full = _sliced(packets, slice_us, close_on_fin)
     thin = cut_lineage(_cuts_inside(
         full.select(*SLICE, "us", "pkt_ord", "from_a", "_m", "_closes"), idle_us))
-    inherited = localized(_carry(thin, idle_us))
+    inherited, few = localized_table(_carry(thin, idle_us))
     if active_s is not None:
-        starts = _active_starts(thin, inherited, int(active_s * 1e6), slice_us, max_fold)
+        per_pair = (few.group_by(PAIR).aggregate([("n", "sum")])["n_sum"].to_pylist() if few is not None
+                    else [inherited.groupBy(*PAIR).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]])
+        starts = _active_starts(thin, inherited, int(active_s * 1e6), slice_us,
+                                max(per_pair, default=0), max_fold)
         inherited = _add_starts(inherited, starts, slice_us)
     same = Window.partitionBy(*SLICE, "from_a").orderBy("us", "pkt_ord")
     rows = (_cuts_inside(full, idle_us).withColumn("_same", F.lag("_m").over(same))
@@ -208,16 +208,18 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | N
 
 
 def _active_starts(thin: DataFrame, inherited: DataFrame, active_us: int, slice_us: int,
-                   max_fold: int) -> DataFrame:
+                   busiest: int, max_fold: int) -> DataFrame:
+    """Starts that follow an active cut; ``busiest`` is the largest packet count of a pair."""
     rows = thin.join(inherited.select(*SLICE, "c_first", "c_seg"), SLICE).select(
         *PAIR, _segment().alias("seg"), "us", "pkt_ord", "from_a")
-    busiest = (inherited.groupBy(*PAIR).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]) or 0
+    # Most segments are over before the timeout: their packets need not move at all.
+    due = F.col("us") - F.col("seg.us") >= active_us
+    lasting = localized(rows.where(due).select(*PAIR, "seg").distinct())
+    rows = rows.join(lasting, [*PAIR, "seg"], "left_semi")
     if busiest <= max_fold:
         return _fold_starts(rows, active_us)
     # Some segment may be too long for one array: divide the segments by size.
-    sizes = (rows.groupBy(*PAIR, "seg").agg(F.count("*").alias("_size"), F.max("us").alias("_end"))
-             .where(F.col("_end") - F.col("seg.us") >= active_us)
-             .select(*PAIR, "seg", (F.col("_size") > max_fold).alias("_big")))
+    sizes = rows.groupBy(*PAIR, "seg").agg((F.count("*") > max_fold).alias("_big"))
     rows = cut_lineage(rows.join(sizes, [*PAIR, "seg"]))
     return _fold_starts(rows.where("not _big"), active_us).unionByName(
         _jump_starts(rows.where("_big"), active_us, slice_us))

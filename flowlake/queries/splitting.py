@@ -9,7 +9,7 @@ from flowlake import schema as S
 from flowlake.functions.scalars import name
 from flowlake.operators import selection as SEL
 from flowlake.operators import splits as SP
-from flowlake.queries.bindings import GROUPED, RAW_SQL, grid, grid_sql, lineitem
+from flowlake.queries.bindings import GROUPED, RAW_SQL, grid, grid_sql
 from flowlake.queries.cleaning import _derived, headerless
 from flowlake.operators.clean import group_labels
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowlake import schema as S
 from flowlake.functions.scalars import is_finite, name
 from flowlake.operators import scoring
-from flowlake.operators.flow_features import SUMMARY, flow_features
+from flowlake.operators.flow_features import flow_features
 from flowlake.operators.flows import ACTIVE_GAP_S, ACTIVE_S, IDLE_S
 from flowlake.operators.modeling import Classifier
 from flowlake.streaming.flows import as_assigned, stream_flows
