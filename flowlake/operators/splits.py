@@ -102,6 +102,8 @@ def split_temporal(df: DataFrame, file: str = "Source_File",
     The global rank becomes a rank inside each file: 0 for files behind the cut, the whole
     file before it.  The window runs over one row per file.
     """
+    # Rows without a file come first and belong to the order like any other.
+    df, file = df.withColumn("_file", F.coalesce(name(file), F.lit(""))), "_file"
     counts = chunk_counts(df, [file], order, ROW_SHIFT)
     per_file = counts.groupBy(file).agg(F.sum("_n").alias("_total"))
     total = per_file.agg(F.sum("_total")).first()[0] or 0
@@ -111,7 +113,7 @@ def split_temporal(df: DataFrame, file: str = "Source_File",
         file, F.lit(0).alias("cut_id"),
         F.least(F.greatest(F.lit(int(TEMPORAL_TRAIN * total)) - start, F.lit(0)),
                 F.col("_total")).alias("rank")))
-    return _by_position(df, file, order, ranks, counts)
+    return _by_position(df, file, order, ranks, counts).drop("_file")
 
 
 def row_hash(key: Sequence[str], seed: int = SEED) -> Column:
@@ -220,7 +222,7 @@ def balanced_groups(sizes: Sequence[tuple[str, int]], k: int) -> list[tuple[str,
     """Largest group first, each to the fold with the fewest rows so far."""
     load = [0] * k
     out = []
-    for group, n in sorted(sizes, key=lambda s: (s[1], s[0]), reverse=True):
+    for group, n in sorted(sizes, key=lambda s: (s[1], s[0] or ""), reverse=True):
         fold = load.index(min(load))
         load[fold] += n
         out.append((group, fold))
@@ -231,9 +233,8 @@ def group_folds(df: DataFrame, group: str = "Source_File", k: int = 5) -> DataFr
     """Add ``fold``; a group (one per input file) is never divided."""
     sizes = [(r[0], r[1]) for r in df.groupBy(name(group)).agg(F.count("*")).collect()]
     k = min(k, len(sizes))
-    folds = df.sparkSession.createDataFrame(balanced_groups(sizes, k),
-                                            f"`{group}` string, fold int")
-    return (df.join(F.broadcast(folds), [group])
+    folds = df.sparkSession.createDataFrame(balanced_groups(sizes, k), "_group string, fold int")
+    return (df.join(F.broadcast(folds), name(group).eqNullSafe(F.col("_group")))
             .select(*[name(c) for c in df.columns], "fold"))
 
 

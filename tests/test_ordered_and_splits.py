@@ -140,6 +140,17 @@ def test_missing_columns(flows):
     assert out.where("split = 'train'").count() == int(0.8 * n)
 
 
+def test_rows_without_a_file_are_kept(flows):
+    gaps = flows.withColumn("Source_File", F.when(F.col("Source_File") != "f3", F.col("Source_File")))
+    n = flows.count()
+    out = SP.assign_split(gaps, "temporal")
+    assert out.columns == [*flows.columns, "split"] and out.count() == n
+    assert out.where("split = 'train'").count() == int(0.8 * n)
+    assert out.where("Source_File is null and split = 'test'").count() == 0
+    assert SP.group_folds(gaps).count() == n
+    assert SP.assign_split(gaps, "file").where("Source_File is null").count() == 63
+
+
 def test_cap(flows):
     got = defaultdict(list)
     for r in K.cap_per_file(flows, 61).collect():
