@@ -24,8 +24,8 @@ def replay(spark: SparkSession, d: str, sink) -> None:
     recorded = packets(spark, d)
     for part in (recorded, A.closing_packet(spark, recorded, IDLE_S)):
         part.write.mode("append").parquet(source)
-        A.start_flow_stream(stream_packets(spark, source), sink, checkpoint,
-                            **_OPTIONS).awaitTermination()
+        A.run_to_end(lambda: A.start_flow_stream(stream_packets(spark, source), sink, checkpoint,
+                                                 **_OPTIONS))
 
 
 def stream_flows(spark: SparkSession, d: str) -> DataFrame:

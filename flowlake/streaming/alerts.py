@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,6 +44,22 @@ def start_flow_stream(packets: DataFrame, sink: Callable[[DataFrame, int], None]
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_to_end(start: Callable[[], StreamingQuery], attempts: int = 3) -> None:
+    """Run an available-now query to its end.
+
+    Where Spark could not start the Python process of the keyed state, the query is started
+    again from its checkpoint; any other failure is raised.
+    """
+    for left in reversed(range(attempts)):
+        try:
+            start().awaitTermination()
+            return
+        except StreamingQueryException as e:
+            if not left or "STREAMING_PYTHON_RUNNER_INITIALIZATION_FAILURE" not in str(e):
+                raise
+            log.warning("the state process did not start, trying again: %s", e)
+
+
 def feature_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Summary and features without scoring; a repeated batch replaces its own folder."""
     def write(flows: DataFrame, batch: int) -> None:

@@ -37,9 +37,8 @@ def play(spark, batches, sink, **options):
     parts = [frame(spark, b) for b in batches] + [A.closing_packet(spark, whole, 15)]
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(source)
-        q = A.start_flow_stream(stream_packets(spark, source), sink, checkpoint,
-                                available_now=True, **options)
-        q.awaitTermination()
+        A.run_to_end(lambda: A.start_flow_stream(stream_packets(spark, source), sink, checkpoint,
+                                                 available_now=True, **options))
 
 
 @pytest.fixture(scope="module")
