@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlake.llm import lengths, packing, token_files
+from flowlake.llm import dedup, lengths, packing, quality, token_files
 from flowlake.llm.common import table
 from flowlake.session import new_folder
 
@@ -16,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(table(spark, sf_dir, "documents"), SEQUENCE), SEQUENCE)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -23,10 +28,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(rows, spark, path)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.length_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_files, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op8_quality_rules, op9_token_counts)}
 
 SQL: dict[str, str] = {}
