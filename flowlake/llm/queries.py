@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import dedup, lengths, packing, quality, token_files
+from flowlake.llm import dedup, lengths, packing, quality, token_files, toxicity
 from flowlake.llm.common import table
 from flowlake.session import new_folder
 
@@ -28,6 +28,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(rows, spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -38,6 +43,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.length_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op8_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op7_toxicity, op8_quality_rules, op9_token_counts)}
 
 SQL: dict[str, str] = {}
