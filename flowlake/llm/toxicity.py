@@ -23,8 +23,8 @@ from flowlake.llm.words import LETTERS, prefix_hashes, word_hashes
 #: Bounds of the training sample: confirmed toxic and unlabelled documents, taken by hash of their id.
 MAX_POSITIVE, MAX_UNLABELLED = 2500, 5000
 #: Beginnings of words that are features beside whole words, in bytes; features the classifier weighs.
-PREFIXES, FEATURES = range(4, 9), 512
-STEPS, LEARNING_RATE, DECAY = 600, 0.05, 2e-4
+PREFIXES, FEATURES = range(4, 9), 1024
+STEPS, LEARNING_RATE, DECAY = 600, 0.05, 1e-4
 
 
 def _features(column: pa.StringArray):
@@ -94,7 +94,11 @@ def choose_features(toxic: tuple, other: tuple, n: int = FEATURES) -> np.ndarray
 
 
 def fit(toxic: tuple, other: tuple, prior: float) -> Classifier:
-    """Full-batch training on ``(codes, first)`` of the toxic and the unlabelled texts."""
+    """Training on ``(codes, first)`` of the toxic and the unlabelled texts, twice.
+
+    The first classifier bounds the class prior: no score is exceeded by fewer than ``prior``
+    times as many unlabelled as toxic texts.  The second one learns with the smaller prior.
+    """
     if len(toxic[1]) < 2 or len(other[1]) < 2 or prior <= 0:
         return Classifier(np.empty(0, np.uint32), np.empty(0), -40.0)
     codes = choose_features(toxic, other)
@@ -110,11 +114,23 @@ def fit(toxic: tuple, other: tuple, prior: float) -> Classifier:
         return out
 
     xp, xu = dense(toxic), dense(other)
-    w, m, v = (np.zeros(len(codes) + 1, np.float32) for _ in range(3))
+    w = descend(xp, xu, prior)
+    scores = np.sort(xu @ w)
+    levels = np.quantile(xp @ w, np.linspace(0.02, 0.7, 35))
+    above = 1 - np.searchsorted(scores, levels, side="left") / len(scores)
+    shares = np.array([(xp @ w >= x).mean() for x in levels])
+    w = descend(xp, xu, min(prior, max(1 / len(xu), float((above / shares).min()))))
+    return Classifier(codes, w[:-1].astype(np.float64), float(w[-1]))
+
+
+def descend(xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Weights, the bias last, that make the non-negative risk small."""
+    w, m, v = (np.zeros(xp.shape[1], np.float32) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior)) if prior < 1 else 0
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, STEPS + 1):
         zp, zu = xp @ w, xu @ w
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
+        sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         as_toxic = prior * (xp.T @ (sp - 1)) / len(xp)
         as_clean = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
@@ -122,7 +138,7 @@ def fit(toxic: tuple, other: tuple, prior: float) -> Classifier:
         gradient[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
         w = w - LEARNING_RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Classifier(codes, w[:-1].astype(np.float64), float(w[-1]))
+    return w
 
 
 def _sample(docs: DataFrame, ids: DataFrame) -> tuple:
