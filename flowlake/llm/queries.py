@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import dedup, jaccard, lengths, packing, quality, token_files, toxicity
+from flowlake.llm import dedup, jaccard, lengths, packing, pii, quality, token_files, toxicity
 from flowlake.llm.common import table
 from flowlake.session import new_folder
 
@@ -28,6 +28,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(rows, spark, path)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.length_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op5_jaccard_join, op7_toxicity, op8_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op7_toxicity, op8_quality_rules, op9_token_counts)}
 
 SQL: dict[str, str] = {}
