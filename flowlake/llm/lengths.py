@@ -13,7 +13,7 @@ from flowlake.llm.common import slices, texts
 from flowlake.llm.tokens import default_path, encoder
 
 #: Lengths per block of the two-step suffix sums.
-BLOCK = 4096
+BLOCK = 64
 
 
 def document_lengths(docs: DataFrame, path: str | None = None, end_ids: int = 1,

@@ -59,7 +59,9 @@ def measures(docs: DataFrame, *keep: Column, text_col: str = "text") -> DataFram
                                      f"k -> {' or '.join(equal)}), k -> get(_sorted, k).i))").alias("_at"))
     covered = (f"aggregate(_at, named_struct('n', 0L, 'last', -{WINDOW}), "
                f"(a, p) -> named_struct('n', a.n + least({WINDOW}, p - a.last), 'last', p)).n")
-    return rows.select(*done, F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words"))
+    # the row number is never below 0: it only keeps a later filter on the result from being pushed down into
+    # the steps above, where the array of one step would be built again for each element of the next
+    return rows.select(*done, F.when(F.monotonically_increasing_id() >= 0, F.coalesce(F.expr(covered), F.lit(0)).cast("long")).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
