@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import dedup, jaccard, lengths, packing, pii, quality, token_files, toxicity
+from flowlake.llm import dedup, jaccard, lengths, licences, packing, pii, quality, token_files, toxicity
 from flowlake.llm.common import table
 from flowlake.session import new_folder
 
@@ -51,6 +51,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.length_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op7_toxicity, op8_quality_rules, op9_token_counts)}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.col("doc_id").cast("string"))
+    found = licences.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "*")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op7_toxicity, op8_quality_rules, op9_token_counts,
+                                   op10_licences)}
 
 SQL: dict[str, str] = {}
