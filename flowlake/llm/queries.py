@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import dedup, jaccard, lengths, licences, packing, pii, quality, token_files, toxicity
+from flowlake.llm import dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
 from flowlake.llm.common import table
 from flowlake.session import new_folder
 
@@ -36,6 +36,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -58,7 +62,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "*")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op7_toxicity, op8_quality_rules, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op6_sentencepiece, op7_toxicity, op8_quality_rules, op9_token_counts,
                                    op10_licences)}
 
 SQL: dict[str, str] = {}
