@@ -37,6 +37,8 @@ _EDGES = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
 SHAPES = 4096
 #: Share of true mentions that the patterns are taken to find, rounds and damping of the messages, least belief.
 PATTERN_RECALL, ROUNDS, DAMPING, BELIEF = 0.98, 12, 0.3, 0.9
+#: Edges of independent labels that are added to the counted ones.
+SMOOTHING = 50
 _LABELS = len(KINDS) + 1
 
 
@@ -154,7 +156,7 @@ class Potentials:
         self.edge = []
         for k in range(2):
             pairs = counts[SHAPES * _LABELS + k * _LABELS ** 2:][:_LABELS ** 2].reshape(_LABELS, _LABELS).astype(float)
-            pairs = pairs + pairs.T + 2 * np.outer(share, share)
+            pairs = pairs + pairs.T + SMOOTHING * np.outer(share, share)
             joint = pairs / pairs.sum()
             self.edge.append(np.log(joint / np.outer(joint.sum(1), joint.sum(0))))
 

@@ -65,4 +65,49 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op6_sentencepiece, op7_toxicity, op8_quality_rules, op9_token_counts,
                                    op10_licences)}
 
-SQL: dict[str, str] = {}
+_TEXTS = "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents"
+
+
+def _quality_sql() -> str:
+    rules = {r: (e, grid) for r, (e, grid) in sorted(quality.RULES.items())}
+    rejected = ", ".join(f"count(*) FILTER (WHERE {e} > {c}) AS k_{r}_{i}" for r, (e, grid) in rules.items() for i, c in enumerate(grid))
+    tries = " UNION ALL ".join(f"SELECT lang, n, '{r}' AS rule, {c} AS cutoff, k_{r}_{i} AS k FROM counted"
+                               for r, (_, grid) in rules.items() for i, c in enumerate(grid))
+    rate, error = quality.RATE / len(rules), quality.ERROR / sum(len(grid) for _, grid in rules.values())
+    failed = ", ".join(f"CASE WHEN {e} > (SELECT min(cutoff) FROM passed p WHERE p.lang = c.lang AND p.rule = '{r}') THEN '{r}' END"
+                       for r, (e, _) in rules.items())
+    return rf"""
+    WITH t AS ({_TEXTS}),
+    w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t)),
+    five AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d) AS run
+             FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(w, 4) OVER d IS NOT NULL),
+    again AS (SELECT doc_id, i FROM five QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM again, range(5) x(o) GROUP BY doc_id),
+    m AS (SELECT t.doc_id, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words,
+                 length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                 len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '[!?]+')) AS n_loud,
+                 len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
+                 len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_different,
+                 coalesce(c.n, 0) AS n_repeat_words
+          FROM t LEFT JOIN covered c ON c.doc_id = t.doc_id),
+    c AS MATERIALIZED (SELECT *, n_lines - n_different AS n_dup_lines,
+                 n_words < {quality.FEWEST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM m),
+    counted AS MATERIALIZED (SELECT lang, count(*) AS n, {rejected} FROM c
+                WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang),
+    tests AS ({tries}),
+    passed AS MATERIALIZED (SELECT lang, rule, cutoff FROM tests WHERE k < n * {rate} AND list_sum(list_transform(range(0, k + 1), lambda j:
+               exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate}))))
+               <= {error} / (SELECT count(*) FROM counted)),
+    judged AS (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM c)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM judged"""
+
+
+SQL: dict[str, str] = {
+    "op2_exact_dedup": rf"""
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+    FROM (SELECT doc_id, sha256(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM ({_TEXTS}))
+    WINDOW g AS (PARTITION BY text_sha256)""",
+    "op8_quality_rules": _quality_sql(),
+}
