@@ -27,8 +27,8 @@ def _as_feature(column: str, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         d = number(c)
         if isinstance(S.feature_type(column), T.LongType):
-            # A counter that is no whole number is unreadable, like any other bad text.
-            return F.when(d == F.floor(d), d.try_cast("bigint")).alias(column)
+            # Wide enough for whole counters, and a fractional one keeps its value and its row.
+            return d.alias(column)
         return d.cast("float").alias(column)
     if isinstance(kind, (T.DoubleType, T.DecimalType)):
         return c.cast("float").alias(column)

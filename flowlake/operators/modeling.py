@@ -27,7 +27,8 @@ HARDENED = {
     "max_depth": 4, "min_child_weight": 10, "reg_lambda": 2.0, "reg_alpha": 0.1,
     "subsample": 0.8, "colsample_bytree": 0.8, "learning_rate": 0.05, "n_estimators": 300,
 }
-ATTRIBUTION_ROWS = 2000
+#: Rows whose values replace others in the attribution, and rows of a drawn sample.
+ATTRIBUTION_DONORS = SAMPLE_ROWS = 2000
 
 #: Parameters without a counterpart here; they are recorded but have no effect.
 WITHOUT_EFFECT = ("reg_alpha", "reg_lambda")
@@ -182,26 +183,26 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED) ->
     return df.withColumn("_h", row_hash(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
 
 
-def attribution(clf: Classifier, df: DataFrame, key: Sequence[str], n: int = ATTRIBUTION_ROWS,
+def attribution(clf: Classifier, df: DataFrame, key: Sequence[str], n: int = ATTRIBUTION_DONORS,
                 seed: int = SEED) -> DataFrame:
     """``(feature, class, effect)``: mean absolute change of a class probability when the
     feature takes the value of another row.
 
-    Like the summary it stands for, it is taken over a sample of at most ``n`` rows.
+    The mean is over all rows; the other row is one of at most ``n`` drawn donors.
     """
-    rows = sample_rows(assemble(clf.aligned(df), clf.features).select(
-        *[name(k) for k in key], FEATURES), n, key, seed)
+    rows = assemble(clf.aligned(df), clf.features).select(*[name(k) for k in key], FEATURES)
+    given = localized(sample_rows(rows, n, key, seed).select(
+        *[name(k) for k in key], vector_to_array(FEATURES).alias("donor")))
     base = with_probabilities(clf.model, rows)
     base = base.select(*[name(k) for k in key], vector_to_array(FEATURES).alias("x"),
                        F.col(PROBABILITIES).alias("p0"))
-    donors = rows.select(F.row_number().over(_by_key(key)).alias("slot"),
-                         vector_to_array(FEATURES).alias("donor"))
-    size = min(n, rows.count())
+    donors = given.select(F.row_number().over(_by_key(key)).alias("slot"), "donor")
+    size = max(1, given.count())
     k = len(clf.features)
     variants = (base.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
                 .withColumn("slot", (F.pmod(F.xxhash64(F.lit(seed + 1), "j", *[name(c) for c in key]),
                                             F.lit(size)) + 1).cast("int"))
-                .join(F.broadcast(donors), "slot"))
+                .join(donors, "slot"))
     changed = variants.withColumn(FEATURES, array_to_vector(F.transform(
         "x", lambda v, i: F.when(i == F.col("j"), F.get("donor", i)).otherwise(v))))
     moved = with_probabilities(clf.model, changed)
@@ -213,7 +214,7 @@ def attribution(clf: Classifier, df: DataFrame, key: Sequence[str], n: int = ATT
 
 
 def _by_key(key: Sequence[str]):
-    # The sample has at most ATTRIBUTION_ROWS rows, so one task may number them.
+    # There are at most ATTRIBUTION_DONORS donors, so one task may number them.
     return Window.orderBy(*key)
 
 

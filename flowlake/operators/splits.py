@@ -71,7 +71,7 @@ def last_files(df: DataFrame, file: str = "Source_File") -> list[str]:
 def _by_files(df: DataFrame, test: Sequence[str], file: str) -> DataFrame:
     chosen = df.sparkSession.createDataFrame(
         [(f,) for f in test], f"`{file}` string").withColumn("_test", F.lit(True))
-    return (df.join(F.broadcast(chosen), [file], "left")
+    return (df.join(chosen, [file], "left")
             .select(*[name(c) for c in df.columns],
                     F.when(F.col("_test"), "test").otherwise("train").alias("split")))
 
@@ -96,14 +96,16 @@ def split_per_file(df: DataFrame, file: str = "Source_File",
 
 
 def split_temporal(df: DataFrame, file: str = "Source_File",
-                   order: Sequence[str] = (S.ROW_ORD,)) -> DataFrame:
-    """The first 80 % of all rows trains; files follow each other by name.
+                   order: Sequence[str] = (S.ROW_ORD,), dataset: str = "Dataset") -> DataFrame:
+    """The first 80 % of all rows trains; data sets follow each other, and in each its files by name.
 
     The global rank becomes a rank inside each file: 0 for files behind the cut, the whole
     file before it.  The window runs over one row per file.
     """
     # Rows without a file come first and belong to the order like any other.
-    df, file = df.withColumn("_file", F.coalesce(name(file), F.lit(""))), "_file"
+    parts = [name(dataset)] if dataset in df.columns else []
+    in_order = F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in [*parts, name(file)]])
+    df, file = df.withColumn("_file", in_order), "_file"
     counts = chunk_counts(df, [file], order, ROW_SHIFT)
     per_file = counts.groupBy(file).agg(F.sum("_n").alias("_total"))
     total = per_file.agg(F.sum("_total")).first()[0] or 0
@@ -234,7 +236,7 @@ def group_folds(df: DataFrame, group: str = "Source_File", k: int = 5) -> DataFr
     sizes = [(r[0], r[1]) for r in df.groupBy(name(group)).agg(F.count("*")).collect()]
     k = min(k, len(sizes))
     folds = df.sparkSession.createDataFrame(balanced_groups(sizes, k), "_group string, fold int")
-    return (df.join(F.broadcast(folds), name(group).eqNullSafe(F.col("_group")))
+    return (df.join(folds, name(group).eqNullSafe(F.col("_group")))
             .select(*[name(c) for c in df.columns], "fold"))
 
 

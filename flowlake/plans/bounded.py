@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowlake.session import cut_lineage
+from flowlake.session import new_folder
 
 #: Largest side that is turned into a local relation.
 MAX_LOCAL_ROWS = 100_000
@@ -13,17 +13,20 @@ MAX_LOCAL_ROWS = 100_000
 
 def localized_table(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """:func:`localized` with the rows themselves, where they are few."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return cut_lineage(df), None
-    return df.sparkSession.createDataFrame(head, schema=df.schema), head
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "side")
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    if kept.count() > max_rows:
+        return kept, None
+    rows = kept.toArrow()
+    return spark.createDataFrame(rows, schema=df.schema), rows
 
 
 def localized(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     """``df`` as a local relation of known size when it has at most ``max_rows`` rows.
 
-    Spark then knows the exact size of the side and broadcasts it under its own threshold,
-    and the aggregate behind it is not computed a second time.  A larger ``df`` is stored in
-    the shared folder and joined by shuffle, with run-time skew handling.
+    The side is stored once in the shared folder and what was stored is counted, so nothing
+    behind it is computed a second time.  Spark knows the exact size of a local relation and
+    broadcasts it under its own threshold; a larger side is read back and joined by shuffle.
     """
     return localized_table(df, max_rows)[0]

@@ -76,6 +76,8 @@ def _check(cfg: TrainConfig) -> None:
         raise ValueError(f"unknown search {cfg.tune!r}")
     if cfg.tune and (cfg.kind != "boosted" or cfg.hardened):
         raise ValueError("a search covers plain boosted trees only")
+    if cfg.hardened and cfg.kind != "boosted":
+        raise ValueError("the hardened preset is one of boosted trees")
 
 
 def with_folds(train: DataFrame, cfg: TrainConfig, label: str) -> DataFrame:
@@ -112,7 +114,7 @@ def train_model(df: DataFrame, cfg: TrainConfig) -> TrainResult:
                 rows = splits.stratified_folds(train.drop("fold"), label, cfg.key, 5, cfg.seed)
             weighted = cfg.class_weights and cfg.tune == "ranged"
             params = tuning.search(rows, features, label, _candidates(cfg), fold, weighted)[0][0]
-        elif cfg.hardened and cfg.kind == "boosted":
+        elif cfg.hardened:
             params = {**MD.HARDENED, **params}
         clf = MD.fit_classifier(train, features, label, cfg.kind, params, cfg.class_weights)
         cv = (tuning.cross_validate(train, features, label, "fold", cfg.kind, params,

@@ -81,7 +81,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as packets between twelve hosts."""
     e = table(spark, sf_dir, "events").withColumn(
         "d", F.get_json_object("props", "$.k").cast("int") % 12)
-    e = e.withColumn("s", (F.col("user_id") % 12).cast("int")).where("s <> d")
+    e = e.withColumn("s", (F.col("user_id") % 12).cast("int"))
     tcp = F.col("user_id") % 3 != 0
     size = F.floor("value").cast("int")
     flags = F.expr("""CASE event_type WHEN 'signup' THEN 2 WHEN 'error' THEN 4 WHEN 'click' THEN 8
@@ -115,5 +115,5 @@ pk AS (
          CASE WHEN tcp THEN 1000 + event_id % 1000 END AS tcp_window,
          CASE WHEN NOT tcp THEN 0 ELSE CASE event_type WHEN 'signup' THEN 2 WHEN 'error' THEN 4
               WHEN 'click' THEN 8 WHEN 'purchase' THEN 16 WHEN 'view' THEN 1 ELSE 0 END END AS flags,
-         s < d AS from_a, least(s, d) AS a, greatest(s, d) AS b
-  FROM ev WHERE s <> d)"""
+         s <= d AS from_a, least(s, d) AS a, greatest(s, d) AS b
+  FROM ev)"""

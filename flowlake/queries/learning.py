@@ -116,7 +116,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample(spark: SparkSession, d: str) -> DataFrame:
-    return MD.sample_rows(labelled(spark, d), MD.ATTRIBUTION_ROWS, ["Source_File", S.ROW_ORD])
+    return MD.sample_rows(labelled(spark, d), MD.SAMPLE_ROWS, ["Source_File", S.ROW_ORD])
 
 
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -131,11 +131,12 @@ def unseen_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def generalisation(spark: SparkSession, d: str) -> DataFrame:
     return J.generalisation(labelled(spark, d), _train_config(kind="forest", params=SMALL_FOREST),
-                            ["mixed_holdout", "cross_dataset_2017to2018", "fused_2018holdout"])
+                            ["file_holdout", "mixed_holdout", "cross_dataset_2017to2018", "cross_dataset_2018to2017",
+                             "fused_2018holdout", "fused_2017holdout"])
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    return J.ablation(labelled(spark, d), _train_config(kind="forest", params=SMALL_FOREST))
+    return J.ablation(labelled(spark, d), _train_config())
 
 
 QUERIES = {

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.queries import cleaning, evaluation, flows, learning, splitting, streams
+from flowlake.queries import cleaning, evaluation, flows, invariants, learning, splitting, streams
 
-_MODULES = (cleaning, splitting, evaluation, flows, learning, streams)
+_MODULES = (cleaning, splitting, evaluation, flows, learning, streams, invariants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

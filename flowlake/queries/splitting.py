@@ -118,7 +118,7 @@ SQL = {
          count(*) OVER (PARTITION BY "Source_File") AS n FROM g)
 SELECT "Source_File", row_ord, CASE WHEN rn <= floor(0.7e0 * n) THEN 'train' ELSE 'test' END AS split FROM r""",
     "split_temporal": f"""WITH {_GROUPED}, r AS (
-  SELECT *, row_number() OVER (ORDER BY "Source_File", row_ord) AS rn, count(*) OVER () AS n FROM g)
+  SELECT *, row_number() OVER (ORDER BY "Dataset", "Source_File", row_ord) AS rn, count(*) OVER () AS n FROM g)
 SELECT "Source_File", row_ord, CASE WHEN rn <= floor(0.8e0 * n) THEN 'train' ELSE 'test' END AS split FROM r""",
     "split_file": _rows("\"Source_File\" = (SELECT max(\"Source_File\") FROM g)"),
     "split_file_holdout": _rows(_in(HOLDOUT_LITERAL)),

@@ -123,6 +123,7 @@ def test_listed_search_and_bad_mixes(spark, flows, monkeypatch):
     out = J.train_model(binary, J.TrainConfig(strategy="random", tune="listed", draws=1, cv=False))
     assert out.params["n_estimators"] == 2 and out.classifier.labels == ["DoS", "rest"]
     for bad in (J.TrainConfig(kind="forest", tune="listed"), J.TrainConfig(hardened=True, tune="ranged"),
+                J.TrainConfig(kind="forest", hardened=True),
                 J.TrainConfig(tune="tpe")):
         with pytest.raises(ValueError):
             J.train_model(binary, bad)

@@ -165,3 +165,25 @@ def test_no_split_gathers_rows(flows):
         plan = plan_of(SP.assign_split(flows, strategy))
         assert "Window" not in plan and "SinglePartition" not in plan
         assert "hashpartitioning" not in plan, strategy
+
+
+def test_temporal_split_goes_by_data_set_first(spark):
+    """All of 2017 comes before 2018, whatever the files are called."""
+    rows = [("Monday.csv", "2017", i) for i in range(80)] + [("02-14-2018.csv", "2018", i) for i in range(20)]
+    out = SP.split_temporal(spark.createDataFrame(rows, f"Source_File string, Dataset string, {S.ROW_ORD} long"))
+    assert {(r["Dataset"], r["split"]) for r in out.collect()} == {("2017", "train"), ("2018", "test")}
+
+
+def test_a_small_side_is_computed_once(spark):
+    """What lies behind a checked side is run once, in its own tasks, and no task takes all of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    side = spark.range(1000, numPartitions=10).mapInArrow(count, "id long")
+    for most in (10, 5000):
+        before = seen.value
+        assert localized(side, most).count() == 1000 and seen.value - before == 1000
