@@ -16,7 +16,7 @@ from flowlake.queries.bindings import (
 from flowlake.session import new_folder
 from flowlake.sources import flow_csv
 
-RARE_BELOW = 3000
+RARE_BELOW = 1000
 
 
 def headerless(spark: SparkSession, d: str) -> DataFrame:

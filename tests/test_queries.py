@@ -37,6 +37,7 @@ def test_names():
 def test_twin(spark, sf_dir, engine, name):
     got = tidy(entry_points.queries()[name](spark, sf_dir).toPandas())
     want = tidy(engine.execute(SQL[name]).df())
+    assert len(want)
     pd.testing.assert_frame_equal(got, want)
 
 
