@@ -46,6 +46,7 @@ TEMPLATES = (
 LEAST = 0.75
 #: Names of licence files.
 FILE_NAME = r"(?i)^(un)?licen[sc]e([._-].*)?$|^copying([._-].*)?$"
+_IN_WORD = r"A-Za-z0-9\x{80}-\x{10FFFF}"
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -105,7 +106,7 @@ def declarations(files: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     spark = files.sparkSession
     files = files.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights = term_weights(files.select("text"), templates)
-    pattern = "(?i)(?:" + "|".join(anchors(weights, templates, least)) + ")"
+    pattern = rf"(?i)(?<![{_IN_WORD}])(?:{'|'.join(anchors(weights, templates, least))})(?![{_IN_WORD}])"
     some = files.where(F.col("text").rlike(pattern))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
     units = F.posexplode(F.concat(F.array("text"), lines)).alias("unit", "part")
