@@ -33,7 +33,9 @@ SPACE_SIGN = "▁"
 #: Words encoded by the relational lattice beforehand, and the least count in a batch of a candidate.
 FREQUENT, LEAST_COUNT = 1 << 15, 8
 #: Characters whose lattice is in memory at a time, and the length from which a word is folded alone.
-_CHARS, _LONG = 1 << 19, 128
+_CHARS, _LONG = 1 << 18, 128
+#: Bytes of texts encoded at a time.
+_SLICE = 3 << 20
 _NONE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
@@ -305,20 +307,27 @@ def frequent_words(rows: DataFrame, most: int = FREQUENT) -> DataFrame:
     return counted.where("char_length(word) <= 64").orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
+def _frequent(rows: DataFrame, path: str) -> tuple | None:
+    """The frequent words with their ids from the relational lattice: at most ``FREQUENT`` of them."""
+    found = encode_words(frequent_words(rows), path).toArrow()
+    if not found.num_rows:
+        return None
+    lists = found["ids"].combine_chunks()
+    return (found["word"].combine_chunks(), lists.flatten().to_numpy().astype(np.int32),
+            np.diff(lists.offsets.to_numpy()).astype(np.int64))
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids, text)`` of every whole text; null and empty texts have no ids, as the library has it."""
     path = path or default_path()
     rows = texts(docs, id_col, text_col)
-    found = encode_words(frequent_words(rows), path).toArrow()  # at most FREQUENT words
-    lists = found["ids"].combine_chunks()
-    known = (found["word"].combine_chunks(), lists.flatten().to_numpy().astype(np.int32),
-             np.diff(lists.offsets.to_numpy()).astype(np.int64)) if found.num_rows else None
+    known = _frequent(rows, path)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), rows.schema["text"]])
     names = schema.names
 
     def run(batches):
         for b in batches:
-            for first, part in slices(b.column(1), 8 << 20):
+            for first, part in slices(b.column(1), _SLICE):
                 ids, n = encode_column(load(path), part, known)
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
@@ -343,20 +352,26 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """``(doc_id, n_pieces, ids_crc32, same)``: checksum of the ids, and whether decoding gave the text back."""
-    at = {c: decoded.columns.index(c) for c in ("doc_id", "ids", "text", "decoded")}
-    schema = T.StructType([decoded.schema["doc_id"], T.StructField("n_pieces", T.LongType()),
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_pieces, ids_crc32, same)``: checksum of the ids, and whether decoding gives the text back.
+
+    Encodes and decodes in one pass, so the ids of the corpus are never stored or sent.
+    """
+    path = path or default_path()
+    rows = texts(docs, id_col, text_col)
+    known = _frequent(rows, path)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_pieces", T.LongType()),
                            T.StructField("ids_crc32", T.LongType()), T.StructField("same", T.BooleanType())])
     names = schema.names
 
     def run(batches):
         for b in batches:
-            lists = b.column(at["ids"])
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
-            crc = [zlib.crc32(flat[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
-            same = pc.equal(b.column(at["text"]), b.column(at["decoded"]))
-            yield pa.RecordBatch.from_arrays([b.column(at["doc_id"]), pa.array(np.diff(bounds), pa.int64()),
-                                              pa.array(crc, pa.int64()), same], names)
-
-    return decoded.mapInArrow(run, schema)
+            for first, part in slices(b.column(1), _SLICE):
+                ids, n = encode_column(load(path), part, known)
+                bounds, flat = np.concatenate([[0], np.cumsum(n)]), ids.astype("<u4")
+                crc = [zlib.crc32(flat[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+                same = pc.equal(part.cast(pa.binary()), decode_ids(load(path), ids, n))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(n, pa.int64()),
+                                                  pa.array(crc, pa.int64()), same], names)
+
+    return rows.mapInArrow(run, schema)
