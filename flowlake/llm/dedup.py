@@ -15,6 +15,8 @@ from flowlake.llm.common import SPACE, rows_of, stored
 
 #: A text with more than this share of the rows is settled map-side; at most ``1 / SHARE`` are.
 SHARE = 1 / 512
+#: Longest list of copies that is broadcast to where the texts are read; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
 
 
 def text_digest(text: str | Column) -> Column:
@@ -82,6 +84,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = (own.join(F.broadcast(often.select("digest", "keep")), "digest", "left")
            .where(F.col("keep").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).drop("keep"))
     gone = decided.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
+    if decided.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     same = F.col("a.digest").eqNullSafe(F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     left = own.alias("a").join(gone.alias("b"), same, "left_anti")
     equal = decided.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select("doc_id", "digest").distinct()

@@ -140,13 +140,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_
               text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected ones, all columns as they were.
 
-    Labelled documents are measured for the cutoffs, then each row is judged where it is read:
-    no text is shuffled, and rows that share an id are judged by their own texts.
+    All documents are measured for the cutoffs, then each row is judged where it is read: only
+    measures meet the labels, no text is shuffled at any size, and rows that share an id are
+    judged by their own texts.
     """
     stratum = F.col(stratum_col).cast("string").alias("stratum")
     good = labels.where("quality = 1").select(F.col(id_col).alias("doc_id")).distinct()
-    sample = stored(docs.select(F.col(id_col).alias("doc_id"), stratum, F.col(text_col).alias("text"))
-                    .join(good, "doc_id", "left_semi").transform(lambda d: measures(d, F.col("stratum"))), "measures")
-    chosen = stored(cutoffs(sample, "stratum"), "cutoffs")
+    measured = stored(measures(docs, F.col(id_col).alias("doc_id"), stratum, text_col=text_col), "measures")
+    chosen = stored(cutoffs(measured.join(good, "doc_id", "left_semi"), "stratum"), "cutoffs")
     judged = judge(measures(docs, F.struct("*").alias("_row"), stratum, text_col=text_col), chosen, "stratum")
     return judged.where("kept").select("_row.*")
