@@ -13,7 +13,7 @@ from flowlake.session import new_folder
 #: The white space of every text rule here, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts handed to one numpy pass, in bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

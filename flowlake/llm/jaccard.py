@@ -129,7 +129,7 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int = 64 << 20) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int = 8 << 20) -> Iterator[pa.Table]:
     """Rows that lie in order of their first ``keys`` columns, handed on in tables of whole groups."""
     held, size = [], 0
 

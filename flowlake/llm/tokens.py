@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from flowlake.llm.common import utf8
 
 #: Encoded words that a worker keeps between batches.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 #: Characters that the library may take for a space and the cut does not.
-ODD_SPACE = "[\x1c-\x1f\u0085  ᠎ -​    　﻿]"
+ODD_SPACE = "[\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _JOINED = 2000
 _encoders: dict[str, "Encoder"] = {}
 
@@ -129,9 +129,8 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(of_piece)])
         room = self.kept - len(self.words)
         if room > 0 and len(words) * 8 >= len(self.words):
-            keep = np.arange(len(fresh))
-            if len(fresh) > room:  # the most frequent ones, then no more
-                keep = np.argsort(-np.bincount(index, minlength=len(words))[new], kind="stable")[:room]
+            seen = np.bincount(index, minlength=len(words))[new]
+            keep = np.argsort(-seen, kind="stable")[:min(room, int((seen > 1).sum()))]  # frequent ones, then no more
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes[keep]) - sizes[keep]])
             self.lengths = np.concatenate([self.lengths, sizes[keep]])
             self.ids = np.concatenate([self.ids, gather(ids, begin[keep], sizes[keep])])
