@@ -5,11 +5,16 @@ when a measure exceeds a cutoff.  For each stratum the strictest cutoff of a fix
 whose false rejections among good labelled documents are few enough: the exact binomial tail at
 the tolerated rate must be below the allowed error, divided by the number of all tests made.
 With probability ``1 - ERROR`` no stratum then loses more than ``RATE`` of its good documents.
+
+``keep_good`` tests whole vectors of cutoffs instead, loose to strict in a fixed order, and stops at
+the first that fails.  Such a sequence needs no division by the number of rules and tests, so the
+same rate and error take 217 good documents of a stratum (of four) instead of 1,509.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +117,35 @@ def cutoffs(labelled: DataFrame, stratum: str, rules: dict = RULES, rate: float
     return passed.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def vectors(rules: dict = RULES) -> list[dict[str, float]]:
+    """Cutoffs of all rules at once, loosest first; each step tightens one rule, in the order of ``rules``."""
+    out = [{r: grid[-1] for r, (_, grid) in rules.items()}]
+    for r, (_, grid) in rules.items():
+        out += [{**out[-1], r: c} for c in reversed(grid[:-1])]
+    return out
+
+
+def vector_cutoffs(labelled: DataFrame, stratum: str, rules: dict = RULES, rate: float = RATE, error: float = ERROR) -> DataFrame:
+    """``(stratum, rule, cutoff)`` from measured good documents: the last vector before the first failed test.
+
+    A good document is lost by a vector if it passes the base rules and any rule of the vector
+    rejects it.  The order is fixed, so each test has the whole error of its stratum.
+    """
+    steps = vectors(rules)
+    lost = [reduce(lambda a, b: a | b, [F.coalesce(F.expr(e) > v[r], F.lit(False)) for r, (e, _) in rules.items()]) for v in steps]
+    counts = labelled.groupBy(stratum).agg(F.count("*").alias("n"), *[
+        F.count_if(~base_failed() & x).alias(f"k{i}") for i, x in enumerate(lost)])
+    strata = counts.agg(F.count("*").alias("_strata"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"k{i}").alias("k")) for i in range(len(steps))]))
+    tests = (counts.select(F.col(stratum), "n", each.alias("_t")).select(stratum, "n", "_t.*")
+             .withColumn("_rate", F.lit(rate)).crossJoin(F.broadcast(strata)))
+    passes = binomial_tail("k", "n", "_rate") <= F.lit(error) / F.col("_strata")
+    first = tests.groupBy(stratum).agg(F.coalesce(F.min(F.when(~passes, F.col("step"))), F.lit(len(steps))).alias("_failed"))
+    table = F.array(*[F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff")) for r, c in v.items()]) for v in steps])
+    chosen = first.where("_failed > 0").select(stratum, F.explode(F.get(table, F.col("_failed") - 1)).alias("_c"))
+    return chosen.select(stratum, "_c.*")
+
+
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str, rules: dict = RULES) -> DataFrame:
     """Adds ``base_failed``, ``failed_rules`` (sorted names) and ``kept`` to measured documents."""
     wide = chosen.groupBy(F.col(stratum).alias("_of")).agg(*[
@@ -147,6 +181,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_
     stratum = F.col(stratum_col).cast("string").alias("stratum")
     good = labels.where("quality = 1").select(F.col(id_col).alias("doc_id")).distinct()
     measured = stored(measures(docs, F.col(id_col).alias("doc_id"), stratum, text_col=text_col), "measures")
-    chosen = stored(cutoffs(measured.join(good, "doc_id", "left_semi"), "stratum"), "cutoffs")
+    chosen = stored(vector_cutoffs(measured.join(good, "doc_id", "left_semi"), "stratum"), "cutoffs")
     judged = judge(measures(docs, F.struct("*").alias("_row"), stratum, text_col=text_col), chosen, "stratum")
     return judged.where("kept").select("_row.*")

@@ -96,6 +96,20 @@ def test_quality_verdicts(spark):
     assert quality.quality_rules(docs(spark, []), labels).count() == 0
 
 
+def test_vectors_reach_small_strata(spark):
+    """300 good documents of each of four languages are enough, and a failed step ends the sequence."""
+    good = [(i, " ".join(f"w{i}x{k}" for k in range(30)), f"l{i % 4}") for i in range(1200)]
+    bad = [(5000 + i, " ".join(f"#w{i}|{k}%" for k in range(30)), f"l{i % 4}") for i in range(40)]
+    lines = [(8000 + i, "\n".join(f"x{i} y{k} z{k} u{k}" for k in [*range(8), 0]), "l3") for i in range(9)]  # one line in nine is a copy
+    few = [(9000 + i, " ".join(f"v{i}x{k} #{k}" for k in range(30)), "l4") for i in range(9)]
+    table = spark.createDataFrame(good + bad + lines + few, "doc_id long, text string, lang string")
+    labels = [(i, 1, 0) for i, _, _ in good + lines + few] + [(i, 0, 0) for i, _, _ in bad]
+    kept = {r["doc_id"] for r in quality.keep_good(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert kept == {i for i, _, _ in good + lines + few}
+    steps = quality.vectors()
+    assert len(steps) == 21 and all(sum(a[r] != b[r] for r in a) == 1 and all(a[r] >= b[r] for r in a) for a, b in zip(steps, steps[1:]))
+
+
 def shingles(text):
     w = WORD.findall(text or "")
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
