@@ -59,12 +59,17 @@ def term_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _GAPS), "")
 
 
-def term_weights(texts: DataFrame, templates=TEMPLATES) -> dict[str, float]:
-    """Inverse document frequency over all texts of every word that a template has."""
+def document_counts(texts: DataFrame) -> DataFrame:
+    """``(term, n)``: in how many texts each word of the corpus is; the empty word has the number of texts."""
+    here = F.array_append(F.array_distinct(term_list(F.coalesce("text", F.lit("")))), F.lit(""))
+    return texts.select(F.explode(here).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def term_weights(texts: DataFrame, templates=TEMPLATES, counts: DataFrame | None = None) -> dict[str, float]:
+    """Inverse document frequency over all texts of every word that a template has; the empty word's is the largest."""
     known = sorted({w for _, t in templates for w in _words(t)})
-    here = F.array_intersect(term_list(F.col("text")), F.array(*[F.lit(w) for w in known]))
-    counted = texts.select(F.explode(F.array_append(here, F.lit(""))).alias("term")).groupBy("term").count()
-    found = {r["term"]: r["count"] for r in counted.collect()}  # one row per template word at most, and the total
+    counted = (document_counts(texts) if counts is None else counts).where(F.col("term").isin(["", *known]))
+    found = {r["term"]: r["n"] for r in counted.collect()}  # one row per template word at most, and the total
     return {w: log((1 + found.get("", 0)) / (1 + found.get(w, 0))) + 1 for w in known} | {"": log(1 + found.get("", 0)) + 1}
 
 
@@ -100,12 +105,13 @@ def _template_table(spark: SparkSession, weights: dict[str, float], templates) -
 def declarations(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """``(path, licence, score, whole)``: the closest template of each file that reaches ``least``.
 
-    ``whole`` tells that the whole text, not only a line of it, is that close.  Words unknown to
-    the templates weigh like a word no other text has.  Equal scores go to the earlier template.
+    ``whole`` tells that the whole text, not only a line of it, is that close.  All words have the
+    weight of their document frequency in ``files``.  Equal scores go to the earlier template.
     """
     spark = files.sparkSession
     files = files.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    weights = term_weights(files.select("text"), templates)
+    counts = stored(document_counts(files), "frequencies")
+    weights = term_weights(files.select("text"), templates, counts)
     pattern = rf"(?i)(?<![{_IN_WORD}])(?:{'|'.join(anchors(weights, templates, least))})(?![{_IN_WORD}])"
     some = files.where(F.col("text").rlike(pattern))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
@@ -113,10 +119,10 @@ def declarations(files: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     terms = (some.select("path", units).select("path", "unit", F.explode(term_list(F.col("part"))).alias("term"))
              .groupBy("path", "unit", "term").agg(F.count("*").alias("n")))
     table = _template_table(spark, weights, templates)
-    idf = spark.createDataFrame([(w, x) for w, x in sorted(weights.items()) if w], "term string, idf double")
-    weighed = stored(terms.join(F.broadcast(idf), "term", "left").select(
-        "path", "unit", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"),
-        (F.col("n") * F.coalesce("idf", F.lit(weights[""]))).alias("w")), "terms")
+    total = float(weights[""] - 1)  # log(1 + number of texts)
+    idf = counts.where("term <> ''").select("term", (F.lit(total) - F.log(F.col("n") + 1.0) + 1.0).alias("idf"))
+    weighed = stored(terms.join(idf, "term", "left").select(
+        "path", "unit", "term", (F.col("n") * F.coalesce("idf", F.lit(weights[""]))).alias("w")), "terms")
     norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (weighed.join(F.broadcast(table), "term").groupBy("path", "unit", "licence", "template")
             .agg(F.sum(F.col("w") * F.col("worth")).alias("dot")))

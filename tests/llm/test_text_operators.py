@@ -272,6 +272,20 @@ def test_licences(spark):
     assert licences.scan(table.limit(0)).count() == 0
 
 
+def test_common_words_weigh_little(spark):
+    """Words that most texts have do not hide the declaration beside them."""
+    table = [(f"p/{i}", " ".join(COMMON)) for i in range(300)]
+    table += [("q/a", "Licensed under the Apache License, Version 2.0. " + " ".join(COMMON[:13]))]
+    files = spark.createDataFrame(table, "path string, text string")
+    counts = {x["term"]: x["n"] for x in licences.document_counts(files).collect()}
+    assert counts[""] == 301 and counts[COMMON[0]] == 301 and counts[COMMON[-1]] == 300 and counts["apache"] == 1
+    got = {x["path"]: x for x in licences.declarations(files).collect()}
+    assert set(got) == {"q/a"} and got["q/a"]["licence"] == "Apache-2.0" and got["q/a"]["whole"]
+
+
+COMMON = "the of and to in a is that it as with for on was by from at are this have an which or be not but all they we one had were her".split()
+
+
 def test_anchors_are_safe(spark):
     texts = spark.createDataFrame([("the of and to in with under license",), ("words of the public",)], "text string")
     weights = licences.term_weights(texts)
