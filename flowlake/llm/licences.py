@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine of lines and whole files to templates, then inheritance along paths.
 
 A template's words are weighed by how rare they are in the corpus.  A file's own licence is the
-template closest to one of its lines (headers, notices) or to its whole text.  A file is a
+template closest to one of its lines (headers, notices), to a run of its words as long as the
+template, whatever lines and comment signs it goes over, or to its whole text.  A file is a
 licence file if it is named like one or its whole text is a licence; its licence holds for its
 directory, and a file without a licence of its own takes that of the nearest directory above it.
 """
@@ -10,13 +11,18 @@ from __future__ import annotations
 
 import re
 from math import log
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm.common import stored
 
-#: Notices by which licences are declared, and the openings of licence files.
+_SPDX = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", ("BSD", "BSD-3-Clause"), ("BSD", "BSD-2-Clause"),
+         "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")
+_FULL = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+#: Notices by which licences are declared, and the openings of licence files.  Then the headers
+#: of files, the SPDX lines (the name twice, so that the line of another licence stays far) and the full texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -41,6 +47,10 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    *((x, f"SPDX-License-Identifier: {x} {x}") if isinstance(x, str) else (x[0], f"SPDX-License-Identifier: {x[1]} {x[1]}") for x in _SPDX),
+    *_FULL,
 )
 #: Least cosine of a declaration.
 LEAST = 0.75
@@ -102,10 +112,31 @@ def _template_table(spark: SparkSession, weights: dict[str, float], templates) -
     return spark.createDataFrame(rows, "licence string, template int, term string, worth double")
 
 
+def _runs(some: DataFrame, table: DataFrame, weights: dict[str, float], templates, least: float) -> DataFrame:
+    """``(path, own, unit, terms)``: runs of words as long as a template, around its anchors, slid over whole texts.
+
+    A run begins at every eighth of its length, so that the one nearest to a declaration has at least
+    15 of 16 of its words.  ``own`` is the template; a text whose words keep too little of a
+    template's weight for ``least`` has no runs of it.  A run longer than the text is the whole text.
+    """
+    spark = some.sparkSession
+    sizes = [(i, n := len(_words(t)), max(1, n // 8), anchors(weights, [(name, t)], least)) for i, (name, t) in enumerate(templates)]
+    plan = spark.createDataFrame(sizes, "own int, size int, step int, anchors array<string>")  # one row per template
+    near = (some.select("path", F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(table), "term")
+            .groupBy("path", F.col("template").alias("own")).agg(F.sum(F.col("worth") * F.col("worth")).alias("most"))
+            .where(F.col("most") >= (least * 0.999) ** 2).select("path", "own"))
+    rows = some.join(near, "path").join(F.broadcast(plan), "own").where("size < size(words)")
+    at = "filter(sequence(0, size(words) - 1), i -> array_contains(anchors, words[i]))"
+    begins = (f"array_distinct(flatten(transform({at}, p -> transform("
+              "sequence(cast(greatest(0, ceil((p - size + 1) / step)) as int), cast(floor(p / step) as int)), k -> k * step))))")
+    runs = F.explode(F.expr(f"transform({begins}, b -> struct(b + 1 as unit, slice(words, b + 1, size) as terms))")).alias("run")
+    return rows.select("path", "own", runs).select("path", "own", "run.*")
+
+
 def declarations(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """``(path, licence, score, whole)``: the closest template of each file that reaches ``least``.
 
-    ``whole`` tells that the whole text, not only a line of it, is that close.  All words have the
+    ``whole`` tells that the whole text, not only a part of it, is that close.  All words have the
     weight of their document frequency in ``files``.  Equal scores go to the earlier template.
     """
     spark = files.sparkSession
@@ -113,22 +144,25 @@ def declarations(files: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     counts = stored(document_counts(files), "frequencies")
     weights = term_weights(files.select("text"), templates, counts)
     pattern = rf"(?i)(?<![{_IN_WORD}])(?:{'|'.join(anchors(weights, templates, least))})(?![{_IN_WORD}])"
-    some = files.where(F.col("text").rlike(pattern))
+    some = stored(files.where(F.col("text").rlike(pattern)).withColumn("words", term_list(F.col("text"))), "anchored")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
     units = F.posexplode(F.concat(F.array("text"), lines)).alias("unit", "part")
-    terms = (some.select("path", units).select("path", "unit", F.explode(term_list(F.col("part"))).alias("term"))
-             .groupBy("path", "unit", "term").agg(F.count("*").alias("n")))
+    parts = some.select("path", units).select("path", F.lit(-1).alias("own"), "unit", term_list(F.col("part")).alias("terms"))
     table = _template_table(spark, weights, templates)
+    terms = (parts.unionByName(_runs(some, table, weights, templates, least))
+             .select("path", "own", "unit", F.explode("terms").alias("term"))
+             .groupBy("path", "own", "unit", "term").agg(F.count("*").alias("n")))
     total = float(weights[""] - 1)  # log(1 + number of texts)
     idf = counts.where("term <> ''").select("term", (F.lit(total) - F.log(F.col("n") + 1.0) + 1.0).alias("idf"))
     weighed = stored(terms.join(idf, "term", "left").select(
-        "path", "unit", "term", (F.col("n") * F.coalesce("idf", F.lit(weights[""]))).alias("w")), "terms")
-    norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = (weighed.join(F.broadcast(table), "term").groupBy("path", "unit", "licence", "template")
+        "path", "own", "unit", "term", (F.col("n") * F.coalesce("idf", F.lit(weights[""]))).alias("w")), "terms")
+    unit = ["path", "own", "unit"]
+    norms = weighed.groupBy(unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = (weighed.join(F.broadcast(table), "term").where("own = -1 or own = template").groupBy(*unit, "licence", "template")
             .agg(F.sum(F.col("w") * F.col("worth")).alias("dot")))
-    scored = dots.join(norms, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    scored = dots.join(norms, unit).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
     best = F.max(F.struct("score", (-F.col("template")).alias("t"), "licence")).alias("best")
-    found = scored.groupBy("path").agg(best, F.max(F.col("unit") == 0).alias("whole"))
+    found = scored.groupBy("path").agg(best, F.max((F.col("own") == -1) & (F.col("unit") == 0)).alias("whole"))
     return found.select("path", "best.licence", "best.score", "whole")
 
 

@@ -272,6 +272,25 @@ def test_licences(spark):
     assert licences.scan(table.limit(0)).count() == 0
 
 
+def test_licences_in_parts_of_texts(spark):
+    """Wrapped, commented, embedded and full-text licences, and lines of names."""
+    full = dict(licences._FULL)
+    r = random.Random(3)
+    prose = [" ".join(r.choice(COMMON) for _ in range(120)) for _ in range(300)]
+    gpl = ("/* This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General\n"
+           " * Public License as published by the Free Software\n * Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\n")
+    commented = "".join(f"# {x}\n" for x in full["BSD"].split("\n"))
+    rows = {"a/wrapped.py": ("MIT", "import this\n" + full["MIT"][:300] + "\n" + prose[0]), "b/head.c": ("GPL-3.0", gpl + prose[1]),
+            "c/bsd.py": ("BSD", prose[2] + "\n" + commented + prose[3]), "d/spdx.rs": ("MIT", "// SPDX-License-Identifier: MIT\n" + prose[4]),
+            "e/inline": ("Apache-2.0", prose[5] + " Licensed under the Apache License, Version 2.0. " + prose[6]),
+            "f/doc": ("MIT", "Copyright (c) 2020 Some One\n" + full["MIT"]), "g/doc": ("Apache-2.0", full["Apache-2.0"].replace("\n", " ")),
+            "h/other.rs": (None, "// SPDX-License-Identifier: Zlib\n" + prose[7]), "f/plain": ("MIT", prose[8]), "h/plain": (None, prose[9])}
+    table = [(p, t) for p, (_, t) in rows.items()] + [(f"z/{i}", t) for i, t in enumerate(prose[10:])]
+    got = {x["path"]: x for x in licences.scan(spark.createDataFrame(table, "path string, text string")).collect()}
+    assert {p: got[p]["licence"] for p in rows} == {p: name for p, (name, _) in rows.items()}
+    assert got["f/plain"]["licence_dir"] == "f" and not any(got[f"z/{i}"]["licence"] for i in range(290))
+
+
 def test_common_words_weigh_little(spark):
     """Words that most texts have do not hide the declaration beside them."""
     table = [(f"p/{i}", " ".join(COMMON)) for i in range(300)]
