@@ -31,7 +31,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND = 24, 4
 HASHES = BANDS * BAND
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
-STEP, TOLERANCE = 16, 1e-5
+STEP, TOLERANCE = 16, 4e-7
 #: Members of a block of a bucket, and of a component.
 BUCKET_BLOCK, CLUSTER_BLOCK = 256, 128
 #: Largest list of ids that is broadcast, in rows; a longer one is joined by a shuffle.
@@ -104,6 +104,19 @@ def fewest_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(out)
 
 
+def pruning_loss(similarity: float, least: tuple[int, ...]) -> float:
+    """The probability that a pair of this similarity falls below ``least`` at some step."""
+    alive, lost = {0: 1.0}, 0.0
+    for fewest in least:
+        new: dict[int, float] = {}
+        for m, p in alive.items():
+            for k in range(STEP + 1):
+                new[m + k] = new.get(m + k, 0.0) + p * comb(STEP, k) * similarity ** k * (1 - similarity) ** (STEP - k)
+        lost += sum(p for m, p in new.items() if m < fewest)
+        alive = {m: p for m, p in new.items() if m >= fewest}
+    return lost
+
+
 def plausible(sig: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
     """Which of the pairs keep a posterior above the tolerance at every step."""
     alive, equal = np.arange(len(left)), np.zeros(len(left), np.int16)

@@ -168,6 +168,13 @@ def test_pruning_bound():
     assert sum(math.comb(n, k) * 0.8 ** k * 0.2 ** (n - k) for k in range(least[-1])) < 1e-4
 
 
+def test_pruning_loses_no_more_than_the_bands():
+    least = jaccard.fewest_matches(jaccard.THRESHOLD, jaccard.TOLERANCE)
+    bands = (1 - jaccard.THRESHOLD ** jaccard.BAND) ** jaccard.BANDS
+    assert 0 < jaccard.pruning_loss(jaccard.THRESHOLD, least) <= bands
+    assert jaccard.pruning_loss(0.8, jaccard.fewest_matches(0.8, 1e-5)) == pytest.approx(7.1e-5, rel=0.05)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
