@@ -1,6 +1,6 @@
 """Train/test assignment and cross-validation folds as added columns.
 
-No strategy moves the rows: file-based ones join a short list of files, position- and
+No strategy moves the rows: file-based ones compare with short lists of files, position- and
 hash-based ones compare each row with a cut value found by :mod:`flowlake.plans.ordered`.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlake import schema as S
 from flowlake.functions.scalars import name
-from flowlake.plans.bounded import localized
+from flowlake.plans.bounded import in_lists, localized
 from flowlake.plans.ordered import HASH_SHIFT, ROW_SHIFT, chunk_counts, cut_index, rank_cuts
 
 # Seed and shares of the strategies.
@@ -69,11 +69,8 @@ def last_files(df: DataFrame, file: str = "Source_File") -> list[str]:
 
 
 def _by_files(df: DataFrame, test: Sequence[str], file: str) -> DataFrame:
-    chosen = df.sparkSession.createDataFrame(
-        [(f,) for f in test], f"`{file}` string").withColumn("_test", F.lit(True))
-    return (df.join(chosen, [file], "left")
-            .select(*[name(c) for c in df.columns],
-                    F.when(F.col("_test"), "test").otherwise("train").alias("split")))
+    tagged = in_lists(df, file, {"test": test}, "_part", "string")
+    return tagged.select(*[name(c) for c in df.columns], F.coalesce("_part", F.lit("train")).alias("split"))
 
 
 def _by_position(df: DataFrame, file: str, order: Sequence[str], ranks: DataFrame,
@@ -235,9 +232,10 @@ def group_folds(df: DataFrame, group: str = "Source_File", k: int = 5) -> DataFr
     """Add ``fold``; a group (one per input file) is never divided."""
     sizes = [(r[0], r[1]) for r in df.groupBy(name(group)).agg(F.count("*")).collect()]
     k = min(k, len(sizes))
-    folds = df.sparkSession.createDataFrame(balanced_groups(sizes, k), "_group string, fold int")
-    return (df.join(folds, name(group).eqNullSafe(F.col("_group")))
-            .select(*[name(c) for c in df.columns], "fold"))
+    lists: dict[int, list] = {}
+    for value, fold in balanced_groups(sizes, k):
+        lists.setdefault(fold, []).append(value)
+    return in_lists(df, group, lists, "fold", "int")
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str] = ("Source_File", S.ROW_ORD),

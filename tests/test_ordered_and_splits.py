@@ -9,7 +9,7 @@ from flowlake import schema as S
 from flowlake.operators import canonical as K
 from flowlake.operators import splits as SP
 from flowlake.plans import ordered as O
-from flowlake.plans.bounded import localized
+from flowlake.plans.bounded import in_lists, localized
 from tests.conftest import plan_of
 
 
@@ -165,6 +165,22 @@ def test_no_split_gathers_rows(flows):
         plan = plan_of(SP.assign_split(flows, strategy))
         assert "Window" not in plan and "SinglePartition" not in plan
         assert "hashpartitioning" not in plan, strategy
+        assert "file" not in strategy.split("_") or strategy == "per_file" or "Exchange" not in plan
+    assert "Exchange" not in plan_of(SP.group_folds(flows))
+
+
+def test_long_lists_are_joined_in_parts(spark, flows):
+    """A list too long for literals gives the same rows, and one value's rows are dealt over many tasks."""
+    lists = {0: ["f0", "f3", None], 1: ["f1"], 2: ["no such file"]}
+    rows = flows.unionByName(flows.limit(5).withColumn("Source_File", F.lit(None).cast("string")))
+    short, long = (in_lists(rows, "Source_File", lists, "k", "int", n) for n in (10, 0))
+    assert sorted(map(str, short.collect())) == sorted(map(str, long.collect()))
+    assert "BroadcastNestedLoopJoin" not in plan_of(long)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "_salt" in plan_of(long.select("*")).split("hashpartitioning(")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_temporal_split_goes_by_data_set_first(spark):
