@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm import dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
-from flowlake.llm.common import table
+from flowlake.llm.common import stored, table
 from flowlake.session import new_folder
 
 #: Length of the packed sequences.
@@ -52,7 +52,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.histogram(lengths.length_counts(table(spark, sf_dir, "documents")))
+    counts = stored(lengths.length_counts(table(spark, sf_dir, "documents")), "lengths")
+    return lengths.histogram(counts)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

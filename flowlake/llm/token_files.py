@@ -22,6 +22,8 @@ from flowlake.llm.tokens import default_path, encoder
 
 #: Ids that one row group holds at most, about; a longer document is a row group of its own.
 ROW_GROUP_BYTES = 8 << 20
+#: Texts encoded at a time, in bytes: each different word of them is encoded once.
+SLICE_BYTES = 16 << 20
 #: Rows of a page; the page index has one entry for each page.
 PAGE_ROWS = 64
 
@@ -44,23 +46,49 @@ def _schema(id_type: T.DataType) -> T.StructType:
                          T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out and sorted by ``doc_id``, one range of ids for each partition.
+
+    The ranges are quantiles of the ids, which one pass over that column alone finds; texts are
+    read once.  An id that fills several ranges is dealt over all of them.  Ids that are no whole
+    numbers are dealt by Spark's own sampled ranges.
+    """
+    rows = rows.withColumn("_read", F.monotonically_increasing_id())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        dealt = rows.repartitionByRange("doc_id", "_read")
+    else:
+        ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"))
+        found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
+        bounds = np.array(sorted(found or ()), np.int64)
+
+        @F.arrow_udf("int")
+        def part(doc_id: pa.Array, read: pa.Array) -> pa.Array:
+            at = doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, at, side="left"), np.searchsorted(bounds, at, side="right")
+            return pa.array((low + read.to_numpy(zero_copy_only=False) % (high - low + 1)).astype(np.int32))
+
+        dealt = rows.repartitionById(len(bounds) + 1, part(F.col("doc_id").cast("long"), "_read"))
+    return dealt.sortWithinPartitions("doc_id", "_read").drop("_read")
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 0,
                  encoding: str = "dictionary", id_col: str = "doc_id", text_col: str = "text",
                  **options: int) -> None:
     """Encode every whole text and write the files in ascending id order.
 
-    Null text counts as empty, a null id comes first, rows with equal ids keep the order they
-    are read in and a range may end between them, an empty table gives files without rows.
+    Null text counts as empty, a null id comes first, rows with equal ids follow each other (in
+    the order they are read, inside a file) and a file may end between them, an empty table gives
+    files without rows.
     """
     tokenizer = tokenizer or default_path()
-    rows = texts(docs, id_col, text_col).withColumn("_read", F.monotonically_increasing_id())
-    rows = (rows.repartitionByRange("doc_id", "_read").sortWithinPartitions("doc_id", "_read").drop("_read"))
+    rows = _in_ranges(texts(docs, id_col, text_col))
     end = np.array([] if end_id is None else [end_id], np.int32)
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, column in slices(b.column(1)):
+            for first, column in slices(b.column(1), SLICE_BYTES):
                 ids, n = encoder(tokenizer).encode(column)
                 if len(end):
                     ids = np.insert(ids, np.cumsum(n), end[0])
