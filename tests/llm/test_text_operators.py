@@ -264,6 +264,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([r.choice(words) for _ in range(r.randrange(5, 40))] + ["vilething", "nasties"] * (i % 6 == 0))) for i in range(900)]
+    rows += rows[:40] + [(5000, " ".join(words * 200) + " vilething nasties")]  # repeated rows and a long text
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 900, 2)], "doc_id long, toxic int")
+    seen = set()
+    for k in range(4):
+        r.shuffle(rows)
+        model = toxicity.train(docs(spark, rows).repartition(k + 1), labels)
+        got = [(x["doc_id"], x["predicted"]) for x in toxicity.score(docs(spark, rows), model).collect()]
+        seen.add((tuple(model.weights), model.bias, tuple(sorted(got))))
+    assert len(seen) == 1
+    held = [(i, p) for i, p in next(iter(seen))[2] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([p == (i % 6 == 0 or i == 5000) for i, p in held]) > 0.97
+
+
 def test_licences(spark):
     mit = "Released under the MIT License."
     apache = "Licensed under the Apache License, Version 2.0."
