@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
+from flowlake.llm import collocations, dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
 from flowlake.llm.common import stored, table
 from flowlake.session import new_folder
 
@@ -63,8 +63,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "*")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = collocations.phrase_counts(table(spark, sf_dir, "documents"))
+    return collocations.collocations(counts)
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op6_sentencepiece, op7_toxicity, op8_quality_rules, op9_token_counts,
-                                   op10_licences)}
+                                   op10_licences, op11_collocations)}
 
 _TEXTS = "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents"
 
@@ -105,7 +110,28 @@ def _quality_sql() -> str:
            NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM judged"""
 
 
+_COLLOCATION_SQL = rf"""
+    WITH p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+           SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+           FROM documents)),
+    g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) s(k) WHERE len(w) >= k)),
+    f AS MATERIALIZED (SELECT lang, k AS size, phrase, count(*) AS f FROM g GROUP BY ALL),
+    t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND f >= 30),
+    cuts AS (SELECT c.*, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+             FROM c, range(1, 4) s(k) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+                  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ') WHERE k < c.size),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    hidden AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+               FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM c, range(2, 4) s(m) WHERE m < size) GROUP BY ALL)
+    SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score
+    FROM best JOIN t USING (lang) LEFT JOIN hidden USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
+    WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000"""
+
 SQL: dict[str, str] = {
+    "op11_collocations": _COLLOCATION_SQL,
     "op2_exact_dedup": rf"""
     SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
     FROM (SELECT doc_id, sha256(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM ({_TEXTS}))
