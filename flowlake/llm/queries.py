@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import collocations, dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
+from flowlake.llm import centroids, collocations, dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
 from flowlake.llm.common import stored, table
 from flowlake.session import new_folder
 
@@ -68,8 +68,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(counts)
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(centroids.cluster(table(spark, sf_dir, "embeddings")), spark)
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op6_sentencepiece, op7_toxicity, op8_quality_rules, op9_token_counts,
-                                   op10_licences, op11_collocations)}
+                                   op10_licences, op11_collocations, op12_centroids)}
 
 _TEXTS = "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents"
 
@@ -130,7 +134,31 @@ _COLLOCATION_SQL = rf"""
     FROM best JOIN t USING (lang) LEFT JOIN hidden USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
     WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000"""
 
+def _centroid_sql() -> str:
+    """Vectors and centroids as (number, component, value) rows; each round is two steps."""
+    parts = [rf"""
+    v0 AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, [floor(256e0 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+        WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v0),
+    c0 AS MATERIALIZED (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS j FROM (
+        SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v0 QUALIFY c < {centroids.CLUSTERS}))"""]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"""
+    a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{i} USING (j) GROUP BY r, c)
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < centroids.ROUNDS:
+            parts.append(f"""
+    m{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY c, j),
+    c{i + 1} AS MATERIALIZED (SELECT c, j, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, y) AS y FROM c{i} LEFT JOIN m{i} USING (c, j))""")
+    k = centroids.ROUNDS
+    return f"""WITH {",".join(parts)},
+    h AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{k} GROUP BY c)
+    SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+           (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{k} JOIN v0 USING (r) JOIN h USING (c)"""
+
+
 SQL: dict[str, str] = {
+    "op12_centroids": _centroid_sql(),
     "op11_collocations": _COLLOCATION_SQL,
     "op2_exact_dedup": rf"""
     SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
