@@ -52,7 +52,7 @@ def first_centroids(vectors: DataFrame, k: int = CLUSTERS) -> np.ndarray:
     """
     order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
     found = vectors.orderBy(order.asc_nulls_last(), "v").limit(k).select("v").toArrow()["v"].to_pylist()
-    return np.array(found, np.int64).reshape(len(found), -1)
+    return np.array(found, np.int64).reshape(len(found), len(found[0]) if found else 0)
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
