@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import centroids, collocations, dedup, jaccard, lengths, licences, packing, pieces, pii, quality, token_files, toxicity
+from flowlake.llm import centroids, collocations, dedup, jaccard, lengths, licences, packing, pieces, pii, quality, secret_scan, token_files, toxicity
 from flowlake.llm.common import stored, table
 from flowlake.session import new_folder
 
@@ -72,8 +72,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(centroids.cluster(table(spark, sf_dir, "embeddings")), spark)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_jaccard_join, op6_sentencepiece, op7_toxicity, op8_quality_rules, op9_token_counts,
-                                   op10_licences, op11_collocations, op12_centroids)}
+                                   op10_licences, op11_collocations, op12_centroids, op13_secrets)}
 
 _TEXTS = "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents"
 
