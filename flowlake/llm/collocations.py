@@ -6,9 +6,12 @@ the last and without the first word have reached the threshold in the shards rea
 is counted from the next shard on until each shard has been read once.  One scan thus counts
 phrases of all lengths, and the last cycles only those that became active late.
 
-What is active is looked up in a bit table of bounded size, sent to the tasks.  A full table
-only makes more phrases counted, never fewer: a count belongs to a phrase and a shard, so
-counting a phrase too early or once more changes nothing.
+Shards are counted by 64-bit hashes of the phrases.  What has reached the threshold is looked up
+in a bit table of fixed size, sent to the tasks.  Bits are only added, so a phrase is counted in
+the scans between the first table that has its parts and the one a cycle later: in each shard
+once.  A full table makes phrases active too early, never too late; two phrases of one hash make
+a count too high, never too low.  So no frequent phrase is missed, and a last scan counts what has
+reached the threshold by its text: only those counts are returned.
 """
 
 from __future__ import annotations
@@ -22,16 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import slices, utf8
+from flowlake.llm.common import remove, slices, stored, utf8
 from flowlake.llm.words import mix, word_hashes
 from flowlake.session import new_folder
 
 #: Parts of the texts that are scanned in turn.
-SHARDS = 4
+SHARDS = 3
 #: Longest phrase, least count, rows for each language, share of a longer phrase that hides a shorter one (percent).
 LONGEST, LEAST, ROWS, HIDES = 4, 30, 2000, 80
-#: Texts counted in one numpy pass, in bytes; bits of the table of active phrases for each of them, and at most.
-SLICE_BYTES, BITS_EACH, MOST_BITS = 8 << 20, 16, 1 << 26
+#: Texts counted in one numpy pass, in bytes; bits of the table of phrases that have reached the threshold.
+SLICE_BYTES, BITS = 8 << 20, 1 << 26
 #: Parts that the joins on a hot word are dealt into.
 SALTS = 16
 NO_LANG = "und"
@@ -41,7 +44,6 @@ _GAPS = _BREAKS | np.isin(np.arange(256), [0x20, 0x09])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(LONGEST)]
-_COUNTS = "lang string, size int, phrase string, fresh long"
 
 
 def split_words(column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
@@ -70,18 +72,13 @@ def _of_lang(lang: str) -> np.uint64:
     return np.uint64(zlib.crc32(lang.encode()) + 1)
 
 
-class Active:
-    """Which phrases have reached the threshold (by hash), and which of them in the last cycle."""
-
-    def __init__(self, reached: np.ndarray, recent: np.ndarray):
-        self.reached, self.recent = reached, recent
-
-    def _has(self, table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes & np.uint64(len(table) * 64 - 1)
-        return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._has(self.reached, hashes), self._has(self.recent, hashes)
+def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both their bits in the table."""
+    out = np.ones(len(hashes), bool)
+    for slot in (hashes, hashes >> np.uint64(32)):
+        slot = slot & np.uint64(len(table) * 64 - 1)
+        out &= (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
 
 def phrase_hashes(sums: np.ndarray, lang: str) -> np.ndarray:
@@ -89,92 +86,82 @@ def phrase_hashes(sums: np.ndarray, lang: str) -> np.ndarray:
     return mix(sums * np.uint64(0x9E3779B97F4A7C15) + _of_lang(lang))
 
 
-def count_slice(column: pa.StringArray, lang: str, words_too: bool, active: Active | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """``(size, phrases, counts)`` of one slice of texts of one language; size 0 counts all words."""
+def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> Iterator[tuple]:
+    """``(size, phrases, counts)`` of one slice of texts of one language: phrases as hashes, or exact as texts.
+
+    Hashes are those of words, where wanted, and of longer phrases whose parts are in the table of
+    ``now`` and were not all in the table of a cycle ago; texts are those of all phrases that have
+    reached the threshold, and size 0 counts all words.
+    """
     words, index, piece = split_words(column)
     if not len(index):
         return
-    if words_too:
-        yield 0, pa.array([""]), np.array([len(index)])
-        yield 1, words, np.bincount(index, minlength=len(words))
-    if active is None:
-        return
     word_hash = word_hashes(words)[0]
-    # Different phrases of the current size: their text, their hash sums; `place` and `code` say where they are.
+    # Different phrases of the current size: their hash sums (and text); `place` and `code` say where they are.
     text, sums, place, code = words, word_hash, np.arange(len(index)), index.astype(np.int64)
-    for size in range(2, LONGEST + 1):
-        reached, recent = active(phrase_hashes(sums, lang))
-        ok, late = reached[code], recent[code]
-        # A phrase starts where this one and the one a word later have reached, one of them lately, in one piece.
-        i = np.flatnonzero(ok[:-1] & ok[1:] & (late[:-1] | late[1:]) & (place[1:] == place[:-1] + 1))
-        both = np.flatnonzero(ok[:-1] & ok[1:] & (place[1:] == place[:-1] + 1))
-        last = place + size - 1
-        i = i[piece[place[i]] == piece[last[i]]]
-        both = both[piece[place[both]] == piece[last[both]]]
-        if not len(both):
+    hashes = phrase_hashes(sums, lang)
+    n = np.bincount(code, minlength=len(words))
+    if words_too:
+        yield 1, hashes, n
+    if exact:
+        yield 0, pa.array([""]), np.array([len(index)])
+    for size in range(1, LONGEST + 1):
+        if now is None:
+            return
+        reached = _has(now, hashes)
+        done = _has(old, hashes) if old is not None else np.zeros(len(hashes), bool)
+        if exact:
+            some = np.flatnonzero(reached)
+            yield size, text.take(pa.array(some)), n[some]
+        if size == LONGEST:
             return
-        pair = code[both] * len(words) + index[last[both]]
+        # A longer phrase starts where this one and the one a word later have reached, both in one piece.
+        ok, done, last = reached[code], done[code], place + size
+        at = np.flatnonzero(ok[:-1] & ok[1:] & (place[1:] == place[:-1] + 1))
+        at = at[piece[place[at]] == piece[last[at]]]
+        if not len(at):
+            return
+        pair = code[at] * len(words) + index[last[at]]
+        fresh = ~(done[at] & done[at + 1])
         different, code, n = np.unique(pair, return_inverse=True, return_counts=True)
         head, tail = different // len(words), different % len(words)
-        sums = sums[head] + word_hash[tail] * _POWERS[size - 1]
-        text = pc.binary_join_element_wise(text.take(pa.array(head)), words.take(pa.array(tail)), " ")
-        place = place[both]
-        wanted = np.zeros(len(different), bool)
-        wanted[code[np.searchsorted(both, i)]] = True
-        some = np.flatnonzero(wanted)
-        yield size, text.take(pa.array(some)), n[some]
-
-
-def _scan(rows: DataFrame, words_too: bool, active: Active | None) -> DataFrame:
-    """Counts of one shard, added up slice by slice."""
+        sums = sums[head] + word_hash[tail] * _POWERS[size]
+        hashes, place = phrase_hashes(sums, lang), place[at]
+        if exact:
+            text = pc.binary_join_element_wise(text.take(pa.array(head)), words.take(pa.array(tail)), " ")
+        else:
+            wanted = np.zeros(len(different), bool)
+            wanted[code[fresh]] = True
+            some = np.flatnonzero(wanted)
+            yield size + 1, hashes[some], n[some]
+
+
+def _scan(rows: DataFrame, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> DataFrame:
+    """Counts of some texts, added up slice by slice."""
     def run(batches):
         for b in batches:
             langs = b.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 own = b.column(1).filter(pc.equal(langs.indices, k))
                 for _, part in slices(own, SLICE_BYTES):
-                    for size, phrases, n in count_slice(part, lang, words_too, active):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), pa.array(np.full(len(n), size, np.int32)),
-                             phrases, pa.array(n, pa.int64())], ["lang", "size", "phrase", "fresh"])
-
-    return rows.mapInArrow(run, _COUNTS)
-
+                    for size, phrases, n in count_slice(part, lang, words_too, now, old, exact):
+                        head = ([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), phrases] if exact
+                                else [pa.array(phrases.view(np.int64))])
+                        yield pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())],
+                                                         [*(["lang", "phrase"] if exact else ["h"]), "size", "n"])
 
-def _bits(state: DataFrame, since: int, n_bits: int) -> Active:
-    """Bit tables of the phrases that have reached the threshold, and of those that did so at step ``since`` or later."""
-    def run(batches):
-        for b in batches:
-            langs, late = b.column(0).dictionary_encode(), b.column(2).to_numpy() >= since
-            hashes, first = word_hashes(b.column(1))
-            n = np.diff(first)
-            sums = np.zeros(len(n), np.uint64)
-            for k in range(LONGEST - 1):
-                some = n > k
-                sums[some] += hashes[first[:-1][some] + k] * _POWERS[k]
-            whole = np.zeros(len(n), np.uint64)
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                own = langs.indices.to_numpy() == k
-                whole[own] = phrase_hashes(sums[own], lang)
-            slot = whole & np.uint64(n_bits - 1)
-            cell, bit = (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63))
-            for kind, own in ((0, np.ones(len(n), bool)), (1, late)):
-                at, inverse = np.unique(cell[own], return_inverse=True)
-                value = np.zeros(len(at), np.uint64)
-                np.bitwise_or.at(value, inverse, bit[own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(value.view(np.int64))],
-                                                 ["kind", "cell", "bits"])
+    return rows.mapInArrow(run, "lang string, phrase string, size int, n long" if exact else "h long, size int, n long")
 
-    reached = state.where(F.col("reached").isNotNull() & F.col("size").between(1, LONGEST - 1)).select("lang", "phrase", "reached")
-    found = (reached.mapInArrow(run, "kind int, cell long, bits long").groupBy("kind", "cell")
-             .agg(F.bit_or("bits").alias("bits")).toArrow())
-    tables = np.zeros((2, n_bits // 64), np.uint64)
-    tables[found["kind"].to_numpy(), found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return Active(*tables)
 
-
-def _total() -> F.Column:
-    return sum((F.coalesce(F.col(f"n{j}"), F.lit(0)) for j in range(SHARDS)), F.lit(0).cast("long"))
+def _bits(reached: DataFrame) -> np.ndarray:
+    """The bit table of the phrases ``(h)``; what comes to the driver is bounded by the table."""
+    mask = F.lit(BITS - 1).cast("long")
+    slots = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))
+    found = (reached.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("cell"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow())
+    table = np.zeros(BITS // 64, np.uint64)
+    table[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
@@ -189,37 +176,37 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", t
     folder = new_folder(spark, "shards")
     (docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text.alias("text"),
                  F.pmod(F.xxhash64(F.col(id_col), text), F.lit(SHARDS)).cast("int").alias("shard"))
-     .where("text <> ''").write.partitionBy("shard").parquet(folder))
+     .where("text <> ''").write.option("compression", "zstd").partitionBy("shard").parquet(folder))
     texts = spark.read.schema("lang string, text string, shard int").parquet(folder)
-    step, state, last = 0, None, None
+    step, state, path, tables = 0, None, None, []
     while True:
-        j = step % SHARDS
-        active = None
-        if state is not None:
-            known = state.agg(F.count_if(F.col("reached").isNotNull()).alias("n"),
-                              F.max(F.when(F.col("size") < LONGEST, F.col("reached"))).alias("last")).first()
-            last = known["last"]
-            if step >= SHARDS and (last is None or last < step - SHARDS):
-                break
-            if last is not None:
-                n_bits = min(MOST_BITS, 1 << max(16, int(known["n"] * BITS_EACH).bit_length()))
-                active = _bits(state, step - SHARDS, n_bits)
-        counted = _scan(texts.where(F.col("shard") == j).select("lang", "text"), step < SHARDS, active)
-        rows = counted.select("lang", "size", "phrase", "fresh", *[F.lit(None).cast("long").alias(f"n{i}") for i in range(SHARDS)],
-                              F.lit(None).cast("int").alias("reached"))
+        now = _bits(state.where(f"reached is not null and size < {LONGEST}")) if state is not None else None
+        old = tables[step - SHARDS] if step >= SHARDS else None
+        if step >= SHARDS and np.array_equal(now, old if old is not None else np.zeros_like(now)):
+            break  # whatever could become active has been counted in every shard since
+        tables.append(now)
+        if step >= SHARDS:
+            tables[step - SHARDS] = None
+        counted = _scan(texts.where(F.col("shard") == step % SHARDS).select("lang", "text"), step < SHARDS, now, old)
+        rows = counted.select("h", "size", "n", F.lit(step).alias("first"), F.lit(None).cast("int").alias("reached"))
         if state is not None:
-            rows = rows.unionByName(state.withColumn("fresh", F.lit(None).cast("long")))
-        merged = rows.groupBy("lang", "size", "phrase").agg(
-            F.sum("fresh").alias("fresh"), *[F.max(f"n{i}").alias(f"n{i}") for i in range(SHARDS)], F.min("reached").alias("reached"))
-        merged = merged.withColumn(f"n{j}", F.coalesce(f"n{j}", "fresh")).drop("fresh")
-        merged = merged.withColumn("reached", F.coalesce("reached", F.when((_total() >= least) & (F.col("size") > 0), F.lit(step))))
-        if step == SHARDS - 1:  # words are complete: rare ones are part of nothing
-            merged = merged.where("size <> 1 or reached is not null")
-        path = new_folder(spark, f"phrases-{step}")
+            rows = rows.unionByName(state)
+        merged = rows.groupBy("h").agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.min("first").alias("first"), F.min("reached").alias("reached"))
+        merged = merged.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step))))
+        # A phrase that was read in every shard and is rare stays so.
+        merged = merged.where((F.col("reached").isNotNull()) | (F.col("first") > step - SHARDS + 1))
+        before, path = path, new_folder(spark, f"phrases-{step}")
         merged.write.parquet(path)
         state = spark.read.schema(merged.schema).parquet(path)
+        if before:
+            remove(spark, before)
         step += 1
-    return state.where((F.col("size") == 0) | F.col("reached").isNotNull()).select("lang", "size", "phrase", _total().alias("n"))
+    every = _bits(state.where("reached is not null"))
+    exact = _scan(texts.select("lang", "text"), False, every, None, True).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    out = stored(exact.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    for old in (folder, path):
+        remove(spark, old)
+    return out
 
 
 def collocations(counts: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -33,6 +33,12 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def rows_of(df: DataFrame, *keys: Column) -> DataFrame:
     """Whole rows as one struct ``_row``, so that no column name can clash with added keys."""
     return df.select(F.struct("*").alias("_row"), *keys)
