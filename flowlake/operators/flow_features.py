@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from flowlake import schema as S
 from flowlake.functions.scalars import TCP, is_finite, name
-from flowlake.operators.flows import ACTIVE_GAP_S, PAIR, flow_columns
+from flowlake.operators.flows import PAIR, flow_columns
 
 SUMMARY = ["flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "duration_s",
            "packets", "end_time"]
 
 
-def packet_statistics(assigned: DataFrame, active_gap_s: float = ACTIVE_GAP_S) -> DataFrame:
-    """Counts, sizes, times and flags per flow and direction.
+def packet_statistics(assigned: DataFrame) -> DataFrame:
+    """Counts, sizes, times, flags and active periods per flow and direction.
 
-    Every aggregate combines before the shuffle.  The list of long gaps is the only
-    collection; a flow of bounded duration has at most duration / gap of them.
+    Every aggregate is of fixed size and combines before the shuffle: a period's length is
+    known to the packet that follows it, the last one ends with the flow.
     """
-    gap_us = int(active_gap_s * 1e6)
     fwd, bwd = F.col("fwd"), ~F.col("fwd")
 
     def on(side: Column, x) -> Column:
@@ -30,8 +29,8 @@ def packet_statistics(assigned: DataFrame, active_gap_s: float = ACTIVE_GAP_S) -
         order = F.when(seen, F.struct("us", "pkt_ord"))
         return F.min_by(F.when(seen, F.col("tcp_window")), order)
 
-    pause = F.when(F.col("iat") > gap_us, F.struct(
-        F.col("us").alias("resume"), (F.col("us") - F.col("iat")).alias("stop")))
+    last = F.max("us") - F.max("island_us")
+    gaps = F.coalesce(F.sum(F.when(F.col("ended").isNotNull(), F.col("iat"))), F.lit(0))
     iat_fwd, iat_bwd = on(fwd, "iat_same"), on(bwd, "iat_same")
     seg = F.when(fwd & (F.col("proto") == TCP) & (F.col("tcp_header") > 0), F.col("tcp_header"))
     out = [
@@ -43,7 +42,9 @@ def packet_statistics(assigned: DataFrame, active_gap_s: float = ACTIVE_GAP_S) -
         F.count_if(F.col("ack")).alias("ack"),
         first_window(fwd).alias("fwd_win"), first_window(bwd).alias("bwd_win"),
         F.count_if(fwd & (F.col("proto") == TCP) & (F.col("len") > 0)).alias("fwd_data"),
-        F.min(seg).alias("min_seg"), F.collect_list(pause).alias("pauses"),
+        F.min(seg).alias("min_seg"), (F.count("ended") + 1).alias("periods"),
+        (F.max("us") - F.min("us") - gaps).alias("active_sum"),
+        F.greatest(F.max("ended"), last).alias("active_max"), F.least(F.min("ended"), last).alias("active_min"),
     ]
     for side, cond in (("fwd", fwd), ("bwd", bwd)):
         out += [F.count_if(cond).alias(f"{side}_n"), F.sum(on(cond, "len")).alias(f"{side}_bytes"),
@@ -56,25 +57,19 @@ def packet_statistics(assigned: DataFrame, active_gap_s: float = ACTIVE_GAP_S) -
     return assigned.groupBy("flow_id", "start", *PAIR).agg(*out)
 
 
-def _active_periods() -> Column:
-    """Lengths of the periods between long gaps, as an array."""
-    gaps = F.array_sort("pauses")
-    begins = F.concat(F.array("lo"), F.transform(gaps, lambda g: g["resume"]))
-    ends = F.concat(F.transform(gaps, lambda g: g["stop"]), F.array("hi"))
-    return F.zip_with(begins, ends, lambda b, e: e - b)
+def flow_features(assigned: DataFrame) -> DataFrame:
+    """Summary columns and the forty features, all finite."""
+    return features_of(packet_statistics(assigned))
 
 
-def flow_features(assigned: DataFrame, active_gap_s: float = ACTIVE_GAP_S) -> DataFrame:
-    """Summary columns and the forty features, all finite."""
-    s = packet_statistics(assigned, active_gap_s)
-    s = s.withColumn("_periods", _active_periods())
+def features_of(s: DataFrame) -> DataFrame:
+    """:func:`flow_features` from the statistics of whole flows, however they were added up."""
     dur = F.col("hi") - F.col("lo")
     moving = (F.col("n") >= 2) & (dur > 0)
 
     def rate(x: str) -> Column:
         return F.when(moving, F.col(x) / (dur / 1e6))
 
-    total = F.aggregate("_periods", F.lit(0).cast("long"), lambda acc, x: acc + x)
     several = F.col("n") >= 2
     value = {
         "Destination Port": F.when(F.col("start.from_a"), F.col("b_port")).otherwise(F.col("a_port")),
@@ -114,9 +109,9 @@ def flow_features(assigned: DataFrame, active_gap_s: float = ACTIVE_GAP_S) -> Da
         "Init_Win_bytes_backward": F.coalesce("bwd_win", F.lit(-1)),
         "act_data_pkt_fwd": F.col("fwd_data"),
         "min_seg_size_forward": F.col("min_seg"),
-        "Active Mean": F.when(several, total / F.size("_periods")),
-        "Active Max": F.when(several, F.array_max("_periods")),
-        "Active Min": F.when(several, F.array_min("_periods")),
+        "Active Mean": F.when(several, F.col("active_sum") / F.col("periods")),
+        "Active Max": F.when(several, F.col("active_max")),
+        "Active Min": F.when(several, F.col("active_min")),
     }
     return s.select(
         "flow_id", *flow_columns(), (dur / 1e6).alias("duration_s"), F.col("n").alias("packets"),

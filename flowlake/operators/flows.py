@@ -70,25 +70,32 @@ def _sliced(p: DataFrame, slice_us: int, close_on_fin: bool) -> DataFrame:
             .withColumn("_m", _mark()).withColumn("_closes", closes))
 
 
-def _cuts_inside(p: DataFrame, idle_us: int) -> DataFrame:
-    """Add ``_prev``, the packet before in the slice, and ``_cut_in``, the latest packet of the
-    slice that follows an idle gap or a reset inside the slice."""
+def _cuts_inside(p: DataFrame, idle_us: int, gap_us: int) -> DataFrame:
+    """Add ``_prev``, the packet before in the slice; ``_cut_in``, the latest packet of the slice that
+    follows an idle gap or a reset inside the slice; ``_pause_in`` and ``_pause_before``, the latest one
+    that follows a pause inside the slice, this packet included or not."""
     w = Window.partitionBy(*SLICE).orderBy("us", "pkt_ord")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("_prev", F.lag("_m").over(w)).withColumn(
         "_cut", (F.col("us") - F.col("_prev.us") >= idle_us) | F.lag("_closes").over(w))
-    return p.withColumn("_cut_in", F.last(F.when(F.col("_cut"), F.col("_m")), True).over(upto))
+    resumed = F.when(F.col("us") - F.col("_prev.us") > gap_us, F.col("_m"))
+    return (p.withColumn("_cut_in", F.last(F.when(F.col("_cut"), F.col("_m")), True).over(upto))
+            .withColumn("_resumed", resumed).withColumn("_pause_in", F.last("_resumed", True).over(upto))
+            .withColumn("_pause_before", F.last("_resumed", True).over(before)).drop("_resumed"))
 
 
-def _carry(thin: DataFrame, idle_us: int) -> DataFrame:
+def _carry(thin: DataFrame, idle_us: int, gap_us: int) -> DataFrame:
     """One row per (pair, slice): what the earlier slices of the pair leave to it.
 
     ``c_first`` is its first packet where that starts a segment, ``c_seg`` the segment open
-    at its beginning, ``c_prev``/``c_a``/``c_b`` the last packets before it (any, a's, b's).
+    at its beginning, ``c_prev``/``c_a``/``c_b`` the last packets before it (any, a's, b's),
+    ``c_resume`` its first packet where that follows a pause, ``c_pause`` the latest earlier one.
     """
     ends = thin.groupBy(*SLICE).agg(
         F.count("*").alias("n"), F.min("_m").alias("first"),
         F.max(F.struct("_m", "_closes")).alias("last"), F.max("_cut_in").alias("cut"),
+        F.max("_pause_in").alias("pause"),
         F.max(F.when(F.col("from_a"), F.col("_m"))).alias("a"),
         F.max(F.when(~F.col("from_a"), F.col("_m"))).alias("b"))
     by_pair = Window.partitionBy(*PAIR).orderBy("slice")
@@ -96,9 +103,10 @@ def _carry(thin: DataFrame, idle_us: int) -> DataFrame:
     ends = ends.withColumn("before", F.lag("last").over(by_pair))
     opens = F.coalesce((F.col("first.us") - F.col("before._m.us") >= idle_us)
                        | F.col("before._closes"), F.lit(True))
-    ends = ends.withColumn("c_first", F.when(opens, F.col("first")))
+    ends = ends.withColumn("c_first", F.when(opens, F.col("first"))).withColumn(
+        "c_resume", F.when(F.col("first.us") - F.col("before._m.us") > gap_us, F.col("first")))
     return ends.select(
-        *SLICE, "n", "c_first", F.col("before._m").alias("c_prev"),
+        *SLICE, "n", "c_first", "c_resume", F.max(F.coalesce("pause", "c_resume")).over(earlier).alias("c_pause"), F.col("before._m").alias("c_prev"),
         F.max("a").over(earlier).alias("c_a"), F.max("b").over(earlier).alias("c_b"),
         F.max(F.coalesce("cut", "c_first")).over(earlier).alias("c_seg"))
 
@@ -170,20 +178,25 @@ def _jump_starts(rows: DataFrame, active_us: int, slice_us: int) -> DataFrame:
 
 def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | None = ACTIVE_S,
                  close_on_fin: bool = False, slice_s: float | None = None,
-                 max_fold: int = MAX_FOLD) -> DataFrame:
+                 max_fold: int = MAX_FOLD, active_gap_s: float = ACTIVE_GAP_S) -> DataFrame:
     """Prepared packets plus ``start`` (first packet of the flow), ``flow_id`` (its arrival
     number), ``fwd``, and the inter-arrival times ``iat`` (any side) and ``iat_same``.
 
+    ``island_us`` is the time at which the flow's current active period began, ``ended`` the
+    length of the period before it, on the packet that follows a gap of more than
+    ``active_gap_s``.  As the flows of a pair follow each other, the pauses are those of the
+    pair, and what a slice needs of earlier ones is one more mark of its summary row.
+
     A first pass over times, sides and resets finds what each slice inherits; the pass over
     whole packets then shuffles them once, by (pair, slice).  ``slice_s`` bounds what one
     task sorts; by default it is a quarter of the active timeout.
     """
-    idle_us = int(idle_s * 1e6)
+    idle_us, gap_us = int(idle_s * 1e6), int(active_gap_s * 1e6)
     slice_us = int((slice_s or (active_s or idle_s) / 4) * 1e6)
     full = _sliced(packets, slice_us, close_on_fin)
     thin = cut_lineage(_cuts_inside(
-        full.select(*SLICE, "us", "pkt_ord", "from_a", "_m", "_closes"), idle_us))
-    inherited, few = localized_table(_carry(thin, idle_us))
+        full.select(*SLICE, "us", "pkt_ord", "from_a", "_m", "_closes"), idle_us, gap_us))
+    inherited, few = localized_table(_carry(thin, idle_us, gap_us))
     if active_s is not None:
         per_pair = (few.group_by(PAIR).aggregate([("n", "sum")])["n_sum"].to_pylist() if few is not None
                     else [inherited.groupBy(*PAIR).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]])
@@ -191,7 +204,7 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | N
                                 max(per_pair, default=0), max_fold)
         inherited = _add_starts(inherited, starts, slice_us)
     same = Window.partitionBy(*SLICE, "from_a").orderBy("us", "pkt_ord")
-    rows = (_cuts_inside(full, idle_us).withColumn("_same", F.lag("_m").over(same))
+    rows = (_cuts_inside(full, idle_us, gap_us).withColumn("_same", F.lag("_m").over(same))
             .join(inherited, SLICE))
     start = _segment()
     if active_s is not None:
@@ -199,9 +212,13 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | N
         start = F.greatest(start, F.col("c_active"), inside)
     prev = F.coalesce("_prev", "c_prev")
     prev_same = F.coalesce("_same", F.when(F.col("from_a"), F.col("c_a")).otherwise(F.col("c_b")))
+    pause = F.coalesce("_pause_in", "c_resume", "c_pause")
+    before = F.when(F.col("_prev").isNull(), F.col("c_pause")).otherwise(F.coalesce("_pause_before", "c_resume", "c_pause"))
+    gap = F.col("us") - prev["us"]
     # A packet before the flow's first one belongs to another flow.
     return rows.withColumn("start", start).select(
-        *packets.columns, "start", F.col("start.ord").alias("flow_id"),
+        *packets.columns, "start", F.greatest("start", pause)["us"].alias("island_us"),
+        F.when((prev >= F.col("start")) & (gap > gap_us), prev["us"] - F.greatest("start", before)["us"]).alias("ended"), F.col("start.ord").alias("flow_id"),
         (F.col("from_a") == F.col("start.from_a")).alias("fwd"),
         F.when(prev >= F.col("start"), F.col("us") - prev["us"]).alias("iat"),
         F.when(prev_same >= F.col("start"), F.col("us") - prev_same["us"]).alias("iat_same"))

@@ -22,11 +22,11 @@ def prepared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    return FL.assign_flows(prepared(spark, d), IDLE_S, ACTIVE_S)
+    return FL.assign_flows(prepared(spark, d), IDLE_S, ACTIVE_S, active_gap_s=GAP_S)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return FF.flow_features(assigned(spark, d), GAP_S)
+    return FF.flow_features(assigned(spark, d))
 
 
 def on_grid(flows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlake import schema as S
 from flowlake.functions.scalars import name
 from flowlake.operators import modeling as MD
+from flowlake.operators import scoring
 from flowlake.queries.bindings import ACTIVE_S, GAP_S, IDLE_S, packets
 from flowlake.queries.flows import FEATURES_ON_GRID_SQL, features, on_grid
 from flowlake.session import new_folder
@@ -54,6 +55,40 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
         F.get_json_object("value", "$.confidence").cast("double").alias("confidence"))
 
 
-QUERIES = {"stream_flows": stream_flows, "stream_alerts": stream_alerts}
+def stream_alerts_check(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of the stream that the batch job does not give, those it misses, and whether there are any."""
+    key = ["src_ip", "dst_ip", "proto", "ts", "packets", "prediction"]
+    flows = features(spark, d)
+    batch = scoring.to_alert_json(scoring.alerts(flow_model(spark, d).score(flows, digits=6), True, 0.5))
+    batch = batch.select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in key])
+    stream = stream_alerts(spark, d).select(*[F.col(k).cast("string").alias(k) for k in key])
+    sides = stream.withColumn("n", F.lit(1)).unionByName(batch.withColumn("n", F.lit(-1))).groupBy(*key).agg(
+        F.sum("n").alias("n"), F.count("*").alias("seen"))
+    return sides.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_stream"),
+                     F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_batch"),
+                     (F.sum("seen") > 0).alias("any_alert"))
 
-SQL = {"stream_flows": FEATURES_ON_GRID_SQL}
+
+def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth packet comes after all others, some of them without an address: those that no flow can take."""
+    source, checkpoint = new_folder(spark, "packets"), new_folder(spark, "stream")
+    out, aside = new_folder(spark, "flows"), new_folder(spark, "aside")
+    recorded = packets(spark, d)
+    behind = recorded.where("pkt_ord % 50 = 0").withColumn("src_ip", F.expr("if(pkt_ord % 350 = 0, null, src_ip)"))
+    for part in (recorded.where("pkt_ord % 50 <> 0"), behind, A.closing_packet(spark, recorded, IDLE_S)):
+        part.write.mode("append").parquet(source)
+        A.run_to_end(lambda: A.start_flow_stream(stream_packets(spark, source), A.feature_sink(out), checkpoint, quarantine=aside, **_OPTIONS))
+    return spark.read.schema("reason string, pkt_ord long, us long").json(aside)
+
+
+QUERIES = {"stream_flows": stream_flows, "stream_alerts": stream_alerts, "stream_alerts_check": stream_alerts_check,
+           "stream_quarantine": stream_quarantine}
+
+SQL = {
+    "stream_flows": FEATURES_ON_GRID_SQL,
+    "stream_alerts_check": "SELECT 0 AS only_stream, 0 AS only_batch, true AS any_alert",
+    # The watermark is one hour behind the latest packet of the first arrival, in whole milliseconds.
+    "stream_quarantine": """WITH m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 AS mark FROM events WHERE event_id % 50 <> 0)
+SELECT CASE WHEN event_id % 350 = 0 THEN 'no address' ELSE 'late' END AS reason, event_id AS pkt_ord, epoch_us(ts) AS us
+FROM events, m WHERE event_id % 50 = 0 AND (event_id % 350 = 0 OR epoch_us(ts) <= mark)""",
+}

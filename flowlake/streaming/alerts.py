@@ -12,33 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlake import schema as S
-from flowlake.functions.scalars import is_finite, name
 from flowlake.operators import scoring
-from flowlake.operators.flow_features import flow_features
+from flowlake.operators.flow_features import features_of
 from flowlake.operators.flows import ACTIVE_GAP_S, ACTIVE_S, IDLE_S
 from flowlake.operators.modeling import Classifier
-from flowlake.streaming.flows import as_assigned, stream_flows
+from flowlake.streaming.flows import closed_flows, set_aside, stream_flows
 
 log = logging.getLogger(__name__)
 
 
-def split_valid(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flows whose features are all finite, and the others."""
-    ok = F.lit(True)
-    for f in S.FLOW_FEATURES:
-        ok = ok & is_finite(name(f))
-    return flows.where(ok), flows.where(~ok)
-
-
 def start_flow_stream(packets: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
                       idle_s: float = IDLE_S, active_s: float = ACTIVE_S,
                       active_gap_s: float = ACTIVE_GAP_S, watermark: str = "10 seconds",
-                      available_now: bool = False, predicate: str | None = None) -> StreamingQuery:
-    """Run ``sink(flow features, batch id)`` for every batch of closed flows."""
-    def each(closed: DataFrame, batch: int) -> None:
-        sink(flow_features(as_assigned(closed), active_gap_s), batch)
+                      available_now: bool = False, predicate: str | None = None,
+                      quarantine: str | None = None) -> StreamingQuery:
+    """Run ``sink(flow features, batch id)`` for every batch of closed flows.
+
+    Packets that belong to no flow, with the reason, go to the folder ``quarantine`` where one is named.
+    """
+    def each(settled: DataFrame, batch: int) -> None:
+        settled = settled.persist(StorageLevel.MEMORY_AND_DISK)  # the keyed state runs once for both outputs
+        try:
+            if quarantine:
+                set_aside(settled).write.mode("overwrite").json(f"{quarantine}/batch={batch}")
+            sink(features_of(closed_flows(settled)), batch)
+        finally:
+            settled.unpersist()
 
-    writer = (stream_flows(packets, idle_s, active_s, watermark, predicate)
+    writer = (stream_flows(packets, idle_s, active_s, active_gap_s, watermark, predicate)
               .writeStream.outputMode("append").option("checkpointLocation", checkpoint)
               .foreachBatch(each))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -68,27 +69,17 @@ def feature_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def alert_sink(clf: Classifier, path: str, only_non_benign: bool = False,
-               min_confidence: float = 0.0, quarantine: str | None = None
-               ) -> Callable[[DataFrame, int], None]:
-    """Score, filter and write JSON lines; unusable flows go to the quarantine folder."""
+               min_confidence: float = 0.0) -> Callable[[DataFrame, int], None]:
+    """Score, filter and write JSON lines."""
     def write(flows: DataFrame, batch: int) -> None:
-        flows = flows.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
-        try:
-            good, bad = split_valid(flows)
-            if quarantine:
-                bad.write.mode("overwrite").json(f"{quarantine}/batch={batch}")
-            kept = scoring.alerts(clf.score(good, digits=6), only_non_benign, min_confidence)
-            scoring.to_alert_json(kept).write.mode("overwrite").text(f"{path}/batch={batch}")
-        finally:
-            flows.unpersist()
+        kept = scoring.alerts(clf.score(flows, digits=6), only_non_benign, min_confidence)
+        scoring.to_alert_json(kept).write.mode("overwrite").text(f"{path}/batch={batch}")
     return write
 
 
 def run_alert_stream(packets: DataFrame, clf: Classifier, path: str, checkpoint: str,
-                     only_non_benign: bool = False, min_confidence: float = 0.0,
-                     quarantine: str | None = None, **options) -> StreamingQuery:
-    sink = alert_sink(clf, path, only_non_benign, min_confidence, quarantine)
-    return start_flow_stream(packets, sink, checkpoint, **options)
+                     only_non_benign: bool = False, min_confidence: float = 0.0, **options) -> StreamingQuery:
+    return start_flow_stream(packets, alert_sink(clf, path, only_non_benign, min_confidence), checkpoint, **options)
 
 
 def closing_packet(spark: SparkSession, packets: DataFrame, idle_s: float) -> DataFrame:

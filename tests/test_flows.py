@@ -5,6 +5,7 @@ from flowlake.functions.scalars import name
 from flowlake.operators import flow_features as FF
 from flowlake.operators import flows as FL
 from flowlake.schema import FLOW_FEATURES
+from tests.conftest import plan_of
 from tests.packets import flows_by_walk, frame, packet, random_rows, trace_rows
 
 EXPECTED = {
@@ -106,6 +107,31 @@ def test_active_gap_is_strict(spark):
     assert (f["Active Max"], f["Active Min"], f["Active Mean"]) == (5_000_000, 0, 2_500_000)
 
 
+@pytest.mark.parametrize("slice_s", [None, 2])
+def test_active_periods_equal_a_walk(spark, slice_s):
+    """Pauses on slice edges, at flow starts and between flows; the aggregate collects nothing."""
+    rows = random_rows(13, n=400, span_s=1500)
+    assigned = FL.assign_flows(FL.prepare_packets(frame(spark, rows)), 15, 40, slice_s=slice_s, active_gap_s=2)
+    flows = FF.flow_features(assigned)
+    assert "ObjectHashAggregate" not in plan_of(flows)
+    times, flow_of = {}, flows_by_walk(rows, 15, 40)
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        times.setdefault(flow_of[r[0]], []).append(r[2])
+    for r in flows.collect():
+        periods, begin, last = [], None, None
+        for t in times[r["flow_id"]]:
+            if begin is None or t - last > 2_000_000:
+                if begin is not None:
+                    periods.append(last - begin)
+                begin = t
+            last = t
+        periods.append(last - begin)
+        if len(times[r["flow_id"]]) < 2:
+            periods = [0]
+        assert (r["Active Max"], r["Active Min"]) == (max(periods), min(periods))
+        assert r["Active Mean"] == pytest.approx(sum(periods) / len(periods))
+
+
 def test_contract(spark):
     flows = FF.flow_features(FL.assign_flows(FL.prepare_packets(frame(spark, trace_rows()))))
     ok = FF.check_contract(flows).collect()
