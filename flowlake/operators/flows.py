@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import scalars as X
-from flowlake.plans.bounded import localized, localized_table
-from flowlake.plans.ordered import running_before
+from flowlake.operators.active_cuts import active_starts
+from flowlake.plans.bounded import localized
 from flowlake.session import cut_lineage
 
 # Default timeouts in seconds.
@@ -23,9 +23,6 @@ IDLE_S, ACTIVE_S, ACTIVE_GAP_S = 15, 120, 5
 PAIR = ["a_ip", "a_port", "b_ip", "b_port", "proto"]
 SLICE = [*PAIR, "slice"]
 
-#: Segments up to this many packets are cut inside one array.
-MAX_FOLD = 50_000
-
 _MARK = "struct<us:bigint,ord:bigint,from_a:boolean>"
 
 
@@ -90,10 +87,10 @@ def _carry(thin: DataFrame, idle_us: int, gap_us: int) -> DataFrame:
 
     ``c_first`` is its first packet where that starts a segment, ``c_seg`` the segment open
     at its beginning, ``c_prev``/``c_a``/``c_b`` the last packets before it (any, a's, b's),
-    ``c_resume`` its first packet where that follows a pause, ``c_pause`` the latest earlier one.
+    ``c_out`` the last segment that starts inside, ``c_resume`` its first packet where that follows a pause, ``c_pause`` the latest earlier one.
     """
     ends = thin.groupBy(*SLICE).agg(
-        F.count("*").alias("n"), F.min("_m").alias("first"),
+        F.min("_m").alias("first"),
         F.max(F.struct("_m", "_closes")).alias("last"), F.max("_cut_in").alias("cut"),
         F.max("_pause_in").alias("pause"),
         F.max(F.when(F.col("from_a"), F.col("_m"))).alias("a"),
@@ -106,7 +103,7 @@ def _carry(thin: DataFrame, idle_us: int, gap_us: int) -> DataFrame:
     ends = ends.withColumn("c_first", F.when(opens, F.col("first"))).withColumn(
         "c_resume", F.when(F.col("first.us") - F.col("before._m.us") > gap_us, F.col("first")))
     return ends.select(
-        *SLICE, "n", "c_first", "c_resume", F.max(F.coalesce("pause", "c_resume")).over(earlier).alias("c_pause"), F.col("before._m").alias("c_prev"),
+        *SLICE, "first", "c_first", F.coalesce("cut", "c_first").alias("c_out"), "c_resume", F.max(F.coalesce("pause", "c_resume")).over(earlier).alias("c_pause"), F.col("before._m").alias("c_prev"),
         F.max("a").over(earlier).alias("c_a"), F.max("b").over(earlier).alias("c_b"),
         F.max(F.coalesce("cut", "c_first")).over(earlier).alias("c_seg"))
 
@@ -116,69 +113,9 @@ def _segment() -> Column:
     return F.coalesce("_cut_in", "c_first", "c_seg")
 
 
-def _fold_starts(rows: DataFrame, active_us: int) -> DataFrame:
-    """First packets after an active cut, segment by segment: ``(pair, start)``.
-
-    Each cut moves the clock for the next one, so a segment is walked in order.
-    """
-    seg = rows.groupBy(*PAIR, "seg").agg(F.array_sort(F.collect_list(_mark())).alias("ms"))
-    state = f"struct<begin:bigint,cut:boolean,starts:array<{_MARK}>>"
-    zero = F.struct(F.col("seg.us").alias("begin"), F.lit(False).alias("cut"),
-                    F.array().cast(f"array<{_MARK}>").alias("starts")).cast(state)
-
-    def step(acc: Column, m: Column) -> Column:
-        fresh = F.struct(m["us"].alias("begin"), F.lit(False).alias("cut"),
-                         F.concat(acc["starts"], F.array(m)).alias("starts"))
-        go = F.struct(acc["begin"].alias("begin"),
-                      (m["us"] - acc["begin"] >= active_us).alias("cut"),
-                      acc["starts"].alias("starts"))
-        return F.when(acc["cut"], fresh.cast(state)).otherwise(go.cast(state))
-
-    return seg.select(*PAIR, F.explode(F.aggregate("ms", zero, step, lambda a: a["starts"]))
-                      .alias("start"))
-
-
-def _jump_starts(rows: DataFrame, active_us: int, slice_us: int) -> DataFrame:
-    """The same starts for segments of any size, without walking them.
-
-    Packets get their rank in the segment; the start that would follow each packet, if it
-    were a start itself, is a rank lookup in the slice of its deadline.  Following these
-    links from the first packet by repeated doubling reaches every true start in a number
-    of rounds logarithmic in the number of cuts.
-    """
-    key = [*PAIR, "seg"]
-    slice_of = F.expr(f"at div {slice_us}")
-    rows = rows.withColumn("m", _mark())
-    ticks = rows.select(*key, F.col("us").alias("at"), F.lit(1).alias("kind"), "m",
-                        F.lit(1).cast("long").alias("one"))
-    due = rows.select(*key, (F.col("us") + active_us).alias("at"), F.lit(0).alias("kind"), "m",
-                      F.lit(0).cast("long").alias("one"))
-    ranked = cut_lineage(running_before(ticks.unionByName(due), key, slice_of,
-                                        ["at", "kind", "m"], ["one"]))
-    node = ranked.where("kind = 1").select(*key, "m", F.col("before_one").alias("r"))
-    size = node.groupBy(*key).agg(F.count("*").alias("size"))
-    # The closing packet has rank before_one at the deadline; the next start follows it.
-    link = (ranked.where("kind = 0").select(*key, "m", (F.col("before_one") + 1).alias("nxt"))
-            .join(node, [*key, "m"]).join(size, key).where("nxt < size")
-            .select(*key, "r", "nxt"))
-    link = cut_lineage(link)
-    reached = cut_lineage(size.select(*key, F.lit(0).cast("long").alias("r")))
-    known = reached.count()
-    while True:
-        step = reached.join(link, [*key, "r"]).select(*key, F.col("nxt").alias("r"))
-        reached = cut_lineage(reached.unionByName(step).distinct())
-        total = reached.count()
-        if total == known:
-            break
-        known = total
-        far = link.select(*key, F.col("r").alias("nxt"), F.col("nxt").alias("_far"))
-        link = cut_lineage(link.join(far, [*key, "nxt"]).select(*key, "r", F.col("_far").alias("nxt")))
-    return reached.where("r > 0").join(node, [*key, "r"]).select(*PAIR, F.col("m").alias("start"))
-
-
 def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | None = ACTIVE_S,
                  close_on_fin: bool = False, slice_s: float | None = None,
-                 max_fold: int = MAX_FOLD, active_gap_s: float = ACTIVE_GAP_S) -> DataFrame:
+                 active_gap_s: float = ACTIVE_GAP_S) -> DataFrame:
     """Prepared packets plus ``start`` (first packet of the flow), ``flow_id`` (its arrival
     number), ``fwd``, and the inter-arrival times ``iat`` (any side) and ``iat_same``.
 
@@ -193,23 +130,22 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | N
     """
     idle_us, gap_us = int(idle_s * 1e6), int(active_gap_s * 1e6)
     slice_us = int((slice_s or (active_s or idle_s) / 4) * 1e6)
+    if active_s is not None and slice_us > active_s * 1e6:
+        raise ValueError("a slice may not be longer than the active timeout")
     full = _sliced(packets, slice_us, close_on_fin)
     thin = cut_lineage(_cuts_inside(
-        full.select(*SLICE, "us", "pkt_ord", "from_a", "_m", "_closes"), idle_us, gap_us))
-    inherited, few = localized_table(_carry(thin, idle_us, gap_us))
-    if active_s is not None:
-        per_pair = (few.group_by(PAIR).aggregate([("n", "sum")])["n_sum"].to_pylist() if few is not None
-                    else [inherited.groupBy(*PAIR).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]])
-        starts = _active_starts(thin, inherited, int(active_s * 1e6), slice_us,
-                                max(per_pair, default=0), max_fold)
-        inherited = _add_starts(inherited, starts, slice_us)
+        full.select(*SLICE, "us", "pkt_ord", "from_a", "_m", "_closes"), idle_us, gap_us)
+        .withColumn("_next", F.lead("_m").over(Window.partitionBy(*SLICE).orderBy("us", "pkt_ord"))))
+    inherited = localized(_carry(thin, idle_us, gap_us))
+    cuts = active_starts(thin, inherited, PAIR, int(active_s * 1e6)) if active_s is not None else None
+    if cuts is not None:
+        inherited = localized(inherited.join(cuts, SLICE, "left"))
     same = Window.partitionBy(*SLICE, "from_a").orderBy("us", "pkt_ord")
     rows = (_cuts_inside(full, idle_us, gap_us).withColumn("_same", F.lag("_m").over(same))
             .join(inherited, SLICE))
     start = _segment()
-    if active_s is not None:
-        inside = F.array_max(F.filter("c_cuts", lambda c: c <= F.col("_m")))
-        start = F.greatest(start, F.col("c_active"), inside)
+    if cuts is not None:
+        start = F.greatest(start, F.col("c_active"), F.when(F.col("c_cut") <= F.col("_m"), F.col("c_cut")))
     prev = F.coalesce("_prev", "c_prev")
     prev_same = F.coalesce("_same", F.when(F.col("from_a"), F.col("c_a")).otherwise(F.col("c_b")))
     pause = F.coalesce("_pause_in", "c_resume", "c_pause")
@@ -224,36 +160,6 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float | N
         F.when(prev_same >= F.col("start"), F.col("us") - prev_same["us"]).alias("iat_same"))
 
 
-def _active_starts(thin: DataFrame, inherited: DataFrame, active_us: int, slice_us: int,
-                   busiest: int, max_fold: int) -> DataFrame:
-    """Starts that follow an active cut; ``busiest`` is the largest packet count of a pair."""
-    rows = thin.join(inherited.select(*SLICE, "c_first", "c_seg"), SLICE).select(
-        *PAIR, _segment().alias("seg"), "us", "pkt_ord", "from_a")
-    # Most segments are over before the timeout: their packets need not move at all.
-    due = F.col("us") - F.col("seg.us") >= active_us
-    lasting = localized(rows.where(due).select(*PAIR, "seg").distinct())
-    rows = rows.join(lasting, [*PAIR, "seg"], "left_semi")
-    if busiest <= max_fold:
-        return _fold_starts(rows, active_us)
-    # Some segment may be too long for one array: divide the segments by size.
-    sizes = rows.groupBy(*PAIR, "seg").agg((F.count("*") > max_fold).alias("_big"))
-    rows = cut_lineage(rows.join(sizes, [*PAIR, "seg"]))
-    return _fold_starts(rows.where("not _big"), active_us).unionByName(
-        _jump_starts(rows.where("_big"), active_us, slice_us))
-
-
-def _add_starts(inherited: DataFrame, starts: DataFrame, slice_us: int) -> DataFrame:
-    """Add the active cuts inside a slice and the latest one before it.
-
-    Active cuts of a pair lie an active timeout apart, so a slice has very few of them.
-    """
-    here = (starts.withColumn("slice", F.expr(f"start.us div {slice_us}"))
-            .groupBy(*SLICE).agg(F.collect_list("start").alias("c_cuts")))
-    earlier = Window.partitionBy(*PAIR).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return localized(inherited.join(here, SLICE, "left").withColumn(
-        "c_active", F.max(F.array_max("c_cuts")).over(earlier)))
-
-
 def flow_columns() -> list[Column]:
     """Endpoints as the initiator sees them."""
     a_first = F.col("start.from_a")

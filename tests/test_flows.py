@@ -1,7 +1,12 @@
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlake.functions.scalars import name
+from flowlake.operators import active_cuts as AC
 from flowlake.operators import flow_features as FF
 from flowlake.operators import flows as FL
 from flowlake.schema import FLOW_FEATURES
@@ -44,9 +49,9 @@ def test_hand_trace(spark):
     assert flows[0]["duration_s"] == pytest.approx(6.04) and flows[0]["packets"] == 6
 
 
-@pytest.mark.parametrize("how", [{}, {"slice_s": 1}, {"max_fold": 2}])
+@pytest.mark.parametrize("how", [{}, {"slice_s": 1}, {"slice_s": 40}])
 def test_any_trace_matches_the_walk(spark, how):
-    """A hot pair, ties in time, tiny slices, and links instead of folding give one answer."""
+    """A hot pair, ties in time, tiny and large slices give one answer."""
     rows = random_rows(1)
     got = FL.assign_flows(FL.prepare_packets(frame(spark, rows)), 15, 40, **how)
     assert ids(got) == flows_by_walk(rows, 15, 40)
@@ -132,6 +137,53 @@ def test_active_periods_equal_a_walk(spark, slice_s):
         assert r["Active Mean"] == pytest.approx(sum(periods) / len(periods))
 
 
+def test_slice_functions_compose_to_the_walk():
+    """Any division of a long segment into slices, composed in any association, leads to the walk's open flow."""
+    r = random.Random(2)
+    active = 40
+    for _ in range(200):
+        us = sorted(r.randrange(400) for _ in range(r.randrange(2, 120)))
+        us = np.array([us[0], *us])
+        width = r.randrange(1, active + 1)
+        state, slices = None, []
+        for s in sorted({t // width for t in us.tolist()}):
+            at = np.flatnonzero(us // width == s)
+            step = [i for i in at if i == at[0] or us[i] != us[i - 1]]
+            nxt = [i + 1 if i < at[-1] else None for i in step]
+            outs = AC.Marks(np.array([us[i] if i is not None else 0 for i in nxt]), np.array([i or 0 for i in nxt]), np.zeros(len(step), bool),
+                            np.array([i is not None for i in nxt]))
+            first = AC.Marks(us[at[:1]], at[:1], np.zeros(1, bool), np.ones(1, bool))
+            slices.append(AC.Steps(us[step], outs, None, first, int(us[at[0]])))
+        begin, new = 0, True
+        for i, t in enumerate(us):
+            if new:
+                begin, new = i, False
+            new = new or t - us[begin] >= active
+        while len(slices) > 1:
+            i = r.randrange(len(slices) - 1)
+            slices[i:i + 2] = [slices[i].then(slices[i + 1], active)]
+        got = slices[0](AC.Marks.awaited(), active)
+        assert (None if new else begin) == (int(got.ord[0]) if got.known[0] else None)
+
+
+def test_one_segment_of_many_packets(spark):
+    """200,000 packets of one pair without a gap: cut as by the walk, in tasks of a few slices each."""
+    n = 200_000
+    packets = spark.range(n).select(
+        F.col("id").alias("pkt_ord"), (F.col("id") * 37_003).alias("us"), F.lit(4).alias("ip_version"), F.lit("A").alias("src_ip"),
+        F.lit("B").alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"), F.lit(17).alias("proto"), F.lit(28).alias("ip_len"),
+        F.lit(5).alias("ip_ihl"), F.lit(None).cast("int").alias("tcp_dataofs"), F.lit(None).cast("int").alias("tcp_window"),
+        F.lit(None).cast("int").alias("tcp_flags"), F.lit(8).alias("udp_len"))
+    got = FL.assign_flows(FL.prepare_packets(packets), 15, 120).groupBy("flow_id").agg(F.count("*").alias("n")).collect()
+    want, begin = Counter(), None
+    for i in range(n):
+        begin = i if begin is None else begin
+        want[begin] += 1
+        if (i - begin) * 37_003 >= 120_000_000:
+            begin = None
+    assert {r["flow_id"]: r["n"] for r in got} == dict(want) and len(want) > 60
+
+
 def test_contract(spark):
     flows = FF.flow_features(FL.assign_flows(FL.prepare_packets(frame(spark, trace_rows()))))
     ok = FF.check_contract(flows).collect()
