@@ -100,21 +100,31 @@ class Steps:
         return Steps(keys, outs, None, later(self.awaited, active_us), self.first_us)
 
 
-def _children(table: pa.Table) -> list[tuple[int, Steps]]:
-    """The functions of a group of rows, in order of their blocks."""
-    kind, blk, key = (table[c].to_numpy() for c in ("kind", "blk", "key"))
-    order = np.lexsort((np.where(np.isnan(key.astype(float)), 0, key), kind, blk))
-    order = order[kind[order] != ENTERS]
-    table, kind, blk = table.take(pa.array(order)), kind[order], blk[order]
-    key, marks = table["key"].combine_chunks().fill_null(0).to_numpy(), Marks.of(table)
-    out = []
-    edges = np.flatnonzero(np.diff(blk)) + 1
-    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(blk)]) if len(blk) else ():
-        n = lo + int((kind[lo:hi] == STEP).sum())
-        rest = marks.take(slice(n, n + 1))
-        always = rest if kind[n] == ALWAYS else None
-        out.append((int(blk[lo]), Steps(key[lo:n], marks.take(slice(lo, n)), always, None if always else rest, int(key[n]))))
-    return out
+@dataclass
+class _Group:
+    """The rows of some neighbouring blocks, in order: of block ``blk[i]`` the steps are ``low[i]:high[i]``, then one more row."""
+
+    blk: list[int]
+    low: list[int]
+    high: list[int]
+    always: list[bool]
+    key: np.ndarray
+    marks: Marks
+
+    @staticmethod
+    def of(table: pa.Table) -> _Group:
+        kind, blk, key = (table[c].combine_chunks().fill_null(0).to_numpy() for c in ("kind", "blk", "key"))
+        order = np.lexsort((key, kind, blk))
+        order = order[kind[order] != ENTERS]
+        kind, blk, key, marks = kind[order], blk[order], key[order], Marks.of(table).take(order)
+        last = np.flatnonzero(kind != STEP)
+        return _Group(blk[last].tolist(), [0, *(last[:-1] + 1).tolist()], last.tolist(), (kind[last] == ALWAYS).tolist(), key, marks)
+
+    def steps(self, i: int) -> Steps:
+        low, n = self.low[i], self.high[i]
+        rest = self.marks.take(slice(n, n + 1))
+        return Steps(self.key[low:n], self.marks.take(slice(low, n)), rest if self.always[i] else None,
+                     None if self.always[i] else rest, int(self.key[n]))
 
 
 def _rows(head: list, blk: int, kind: int, keys: np.ndarray | None, marks: Marks) -> pa.Table:
@@ -135,16 +145,19 @@ def _composed(rows: DataFrame, pair: list[str], active_us: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         head = [(table[c][0].as_py(), table.schema.field(c).type) for c in pair]
-        children = _children(table)
-        whole = children[0][1]
-        for _, later in children[1:]:
-            whole = whole.then(later, active_us)
-        blk = children[0][0] >> FAN_BITS
+        group = _Group.of(table)
+        # What lies before the last block with one result does not matter.
+        first = max((i for i, only in enumerate(group.always) if only), default=0)
+        whole = group.steps(first)
+        whole.first_us = int(group.key[group.high[0]])
+        for i in range(first + 1, len(group.blk)):
+            whole = whole.then(group.steps(i), active_us)
+        blk = group.blk[0] >> FAN_BITS
         if whole.always is not None:
             return _table([_rows(head, blk, ALWAYS, np.array([whole.first_us]), whole.always)], names)
         return _table([_rows(head, blk, STEP, whole.keys, whole.outs), _rows(head, blk, AWAITED, np.array([whole.first_us]), whole.awaited)], names)
 
-    grouped = rows.withColumn("sup", F.shiftright("blk", FAN_BITS)).groupBy(*pair, "sup")
+    grouped = _dealt(rows.withColumn("sup", F.shiftright("blk", FAN_BITS)), pair).groupBy(*pair, "sup")
     return grouped.applyInArrow(run, _schema(rows, pair, _ROW))
 
 
@@ -154,18 +167,34 @@ def _handed_down(rows: DataFrame, entering: DataFrame, pair: list[str], active_u
 
     def run(table: pa.Table) -> pa.Table:
         head = [(table[c][0].as_py(), table.schema.field(c).type) for c in pair]
-        begins = table.filter(pc.equal(table["kind"], ENTERS))
-        state, parts = Marks.of(begins), []
-        for blk, child in _children(table):
-            parts.append(_rows(head, blk, ENTERS, None, state))
-            hit, outs = child.cut(state, active_us)
-            if hit[0]:
-                parts.append(_rows(head, blk, STEP, None, outs))
-            state = child(state, active_us)
-        return _table(parts, names)
+        group, begins = _Group.of(table), table.filter(pc.equal(table["kind"], ENTERS))
+        us, order, side, known = (x.tolist() for x in (group.marks.us, group.marks.ord, group.marks.from_a, group.marks.known))
+
+        def mark(i):
+            return (us[i], order[i], side[i]) if known[i] else None
+
+        state = tuple(begins[c][0].as_py() for c in _MARK)
+        state = None if state[0] is None else state
+        out = []
+        for blk, low, high, only in zip(group.blk, group.low, group.high, group.always):
+            out.append((blk, ENTERS, state))
+            at = low + int(np.searchsorted(group.key[low:high], state[0] + active_us)) if state else high
+            if at < high:
+                out.append((blk, STEP, mark(at)))
+            if only or not state or at < high:
+                state = mark(high) if only or not state else mark(at)
+        n = len(out)
+        marks = [[None if m is None else m[k] for _, _, m in out] for k in range(3)]
+        return pa.table([*[pa.array([v] * n, t) for v, t in head], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
+                         pa.nulls(n, pa.int64()), pa.array(marks[0], pa.int64()), pa.array(marks[1], pa.int64()), pa.array(marks[2], pa.bool_())], names)
 
     both = rows.withColumn("sup", F.shiftright("blk", FAN_BITS)).unionByName(entering.withColumn("sup", F.col("blk")))
-    return both.groupBy(*pair, "sup").applyInArrow(run, _schema(rows, pair, _ROW))
+    return _dealt(both, pair).groupBy(*pair, "sup").applyInArrow(run, _schema(rows, pair, _ROW))
+
+
+def _dealt(rows: DataFrame, pair: list[str]) -> DataFrame:
+    """Dealt out by group into as many tasks as a shuffle has: small rows here stand for much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pair, "sup")
 
 
 def _schema(rows: DataFrame, pair: list[str], rest: str) -> str:
