@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,8 +146,8 @@ def rows_per_file(df: DataFrame, file: str = "Source_File") -> DataFrame:
     return per_file.withColumn("cumulative", F.sum("n").over(w))
 
 
-def quality_report(df: DataFrame) -> DataFrame:
-    """Rows, infinite cells, incomplete rows (±inf counted as missing) and their share."""
+def quality_counts(df: DataFrame) -> list[Column]:
+    """Aggregates: rows, infinite cells, incomplete rows (±inf counted as missing)."""
     numeric = _fractional(df)
     inf = sum((F.when(is_infinite(name(c)), 1).otherwise(0) for c in numeric), F.lit(0))
     gap = F.lit(False)
@@ -155,10 +155,13 @@ def quality_report(df: DataFrame) -> DataFrame:
         if c in POSITION:
             continue
         gap = gap | ((finite_or_null(name(c)) if c in numeric else name(c)).isNull())
-    out = df.agg(F.count("*").alias("n_rows"), F.sum(inf.cast("long")).alias("inf_cells"),
-                 F.count_if(gap).alias("incomplete_rows"))
-    return out.withColumn("incomplete_pct",
-                          F.try_divide(F.col("incomplete_rows") * 100.0, F.col("n_rows")))
+    return [F.count("*").alias("n_rows"), F.sum(inf.cast("long")).alias("inf_cells"), F.count_if(gap).alias("incomplete_rows")]
+
+
+def quality_report(df: DataFrame) -> DataFrame:
+    """Rows, infinite cells, incomplete rows and their share."""
+    return df.agg(*quality_counts(df)).withColumn(
+        "incomplete_pct", F.try_divide(F.col("incomplete_rows") * 100.0, F.col("n_rows")))
 
 
 def dedup_report(df: DataFrame, order_col: str = S.ROW_ORD) -> DataFrame:
@@ -177,20 +180,30 @@ def files_without_rows(before: DataFrame, after: DataFrame, file: str = "Source_
     return localized(before.select(file).distinct()).join(left, [file], "left_anti")
 
 
-def validate_labelled(df: DataFrame, label: str = "Label", features: Sequence[str] = ()) -> None:
-    """Raise unless there are rows, a complete label of two or more classes, complete features."""
+def label_checks(df: DataFrame, label: str = "Label", features: Sequence[str] = ()) -> list[Column]:
+    """The aggregates that :func:`judge_labelled` needs."""
     if label not in df.columns:
         raise ValueError(f"no column {label!r}")
-    missing = [F.count_if(name(c).isNull() | (F.isnan(name(c)) if c in _fractional(df) else F.lit(False)))
-               .alias(f"m{i}") for i, c in enumerate(features)]
-    row = df.agg(F.count("*").alias("n"), F.count_if(name(label).isNull()).alias("no_label"),
-                 F.min(name(label)).alias("lo"), F.max(name(label)).alias("hi"), *missing).first()
-    if row["n"] == 0:
+    fractional = set(_fractional(df))
+    missing = [F.count_if(name(c).isNull() | (F.isnan(name(c)) if c in fractional else F.lit(False))).alias(f"m{i}")
+               for i, c in enumerate(features)]
+    return [F.count("*").alias("n"), F.count_if(name(label).isNull()).alias("no_label"),
+            F.min(name(label)).alias("lo"), F.max(name(label)).alias("hi"), *missing]
+
+
+def judge_labelled(found: Mapping, features: Sequence[str] = ()) -> None:
+    """Raise unless there are rows, a complete label of two or more classes, complete features."""
+    if found["n"] == 0:
         raise ValueError("no rows")
-    if row["no_label"]:
-        raise ValueError(f"{row['no_label']} rows without a label")
-    if row["lo"] == row["hi"]:
-        raise ValueError(f"two classes are needed, found only {row['lo']!r}")
-    bad = [c for i, c in enumerate(features) if row[f"m{i}"]]
+    if found["no_label"]:
+        raise ValueError(f"{found['no_label']} rows without a label")
+    if found["lo"] == found["hi"]:
+        raise ValueError(f"two classes are needed, found only {found['lo']!r}")
+    bad = [c for i, c in enumerate(features) if found[f"m{i}"]]
     if bad:
         raise ValueError(f"features with missing values: {bad}")
+
+
+def validate_labelled(df: DataFrame, label: str = "Label", features: Sequence[str] = ()) -> None:
+    """:func:`judge_labelled` of a table that is read for it."""
+    judge_labelled(df.agg(*label_checks(df, label, features)).first().asDict(), features)

@@ -144,6 +144,27 @@ def csv_ingest(spark: SparkSession, d: str) -> DataFrame:
         F.sum(name("Flow Bytes/s").cast("double")).alias("rate"))
 
 
+def clean_job_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job over files of both dialects that arrive one after the other, with what the writes counted.
+
+    Every feature has a value; some rates are no numbers, and every row is different.
+    """
+    folder, short = new_folder(spark, "job"), {v: k for k, v in S.RENAME_2018.items()}
+    rows = raw_flows(spark, d).select("Label", "q", S.ROW_ORD, "Dataset")
+    report: dict = {}
+    for dialect in ("2017", "2018"):
+        part = rows.where(F.col("Dataset") == dialect)
+        values = [F.col("q") if c == "Flow Bytes/s" else (F.col(S.ROW_ORD) * 2 + i).cast("string") for i, c in enumerate(S.FEATURES)]
+        names = [f" {c}" if dialect == "2017" else short.get(c, c) for c in S.FEATURES]
+        part.select(*[v.alias(c) for v, c in zip(values, names)], F.trim("Label").alias("Label")).write.csv(f"{folder}/{dialect}", header=True)
+        inputs = [f"{folder}/{x}" for x in ("2017", "2018")]
+        table = clean_job.run_new(spark, inputs, f"{folder}/merged", f"{folder}/clean{dialect}", RARE_BELOW, report=report)
+    counts = {k: report[k] for k in ("n_rows", "incomplete_rows", "n_read", "n_kept", "n_clean")}
+    return table.groupBy("Attack Type", "Dataset").agg(
+        F.count("*").alias("n"), F.sum(name("Destination Port")).alias("ports"),
+        *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+
+
 def _derived(spark: SparkSession, d: str) -> DataFrame:
     return lineitem(spark, d).select(
         "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.col("l_tax").alias("dup"),
@@ -167,7 +188,7 @@ QUERIES = {
     "rows_per_file": rows_per_file, "unmapped_labels": unmapped_labels, "drop_rare": drop_rare,
     "quality_report": quality_report, "dedup_rows": dedup_rows, "dedup_report": dedup_report,
     "canonicalize": canonicalize, "schema_drift": schema_drift, "cap_per_file": cap_per_file,
-    "csv_ingest": csv_ingest, "duplicate_columns": duplicate_columns,
+    "csv_ingest": csv_ingest, "clean_job": clean_job_rows, "duplicate_columns": duplicate_columns,
 }
 
 _HALF_HEADER = {
@@ -232,6 +253,14 @@ QUALIFY row_number() OVER (PARTITION BY "Source_File" ORDER BY row_ord) <= 1000"
 SELECT "Dataset", l_returnflag AS "Label", count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS ports,
        CAST(sum(l_partkey) AS BIGINT) AS duration, CAST(sum(l_linenumber) AS BIGINT) AS packets,
        sum(l_quantity) AS rate FROM li WHERE l_orderkey % 101 <> 0 GROUP BY 1, 2""",
+    "clean_job": f"""WITH {RAW_SQL}, v AS (
+  SELECT {GROUPED} AS "Attack Type", "Dataset", 2 * row_ord AS port,
+         coalesce(isfinite(TRY_CAST(q AS DOUBLE)), false) AS whole FROM raw WHERE trim("Label") <> 'Label'),
+g AS (SELECT *, count(*) OVER (PARTITION BY "Attack Type") AS size FROM v WHERE whole),
+k AS (SELECT * FROM g WHERE size >= {RARE_BELOW} AND "Attack Type" <> 'Heartbleed')
+SELECT "Attack Type", "Dataset", count(*) AS n, CAST(sum(port) AS DOUBLE) AS ports, (SELECT count(*) FROM v) AS n_rows,
+       (SELECT count(*) FROM v WHERE NOT whole) AS incomplete_rows, (SELECT count(*) FROM g) AS n_read,
+       (SELECT count(*) FROM g) AS n_kept, (SELECT count(*) FROM k) AS n_clean FROM k GROUP BY 1, 2""",
     "duplicate_columns": """WITH v AS (
   SELECT l_quantity, l_discount, l_tax, l_extendedprice, l_tax AS dup, 1.0e0 AS "const",
          2 * l_quantity + 0.01e0 * l_discount AS lin FROM lineitem),

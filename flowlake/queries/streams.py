@@ -78,7 +78,7 @@ def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
     for part in (recorded.where("pkt_ord % 50 <> 0"), behind, A.closing_packet(spark, recorded, IDLE_S)):
         part.write.mode("append").parquet(source)
         A.run_to_end(lambda: A.start_flow_stream(stream_packets(spark, source), A.feature_sink(out), checkpoint, quarantine=aside, **_OPTIONS))
-    return spark.read.schema("reason string, pkt_ord long, us long").json(aside)
+    return spark.read.schema("reason string, pkt_ord long, us long").json(aside).select("reason", "pkt_ord", "us")
 
 
 QUERIES = {"stream_flows": stream_flows, "stream_alerts": stream_alerts, "stream_alerts_check": stream_alerts_check,
@@ -86,7 +86,7 @@ QUERIES = {"stream_flows": stream_flows, "stream_alerts": stream_alerts, "stream
 
 SQL = {
     "stream_flows": FEATURES_ON_GRID_SQL,
-    "stream_alerts_check": "SELECT 0 AS only_stream, 0 AS only_batch, true AS any_alert",
+    "stream_alerts_check": "SELECT 0::BIGINT AS only_stream, 0::BIGINT AS only_batch, true AS any_alert",
     # The watermark is one hour behind the latest packet of the first arrival, in whole milliseconds.
     "stream_quarantine": """WITH m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 AS mark FROM events WHERE event_id % 50 <> 0)
 SELECT CASE WHEN event_id % 350 = 0 THEN 'no address' ELSE 'late' END AS reason, event_id AS pkt_ord, epoch_us(ts) AS us
