@@ -137,8 +137,11 @@ def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndar
 
 
 def _scan(rows: DataFrame, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> DataFrame:
-    """Counts of some texts, added up slice by slice."""
+    """Counts of some texts, added up slice by slice; the tables travel compressed."""
+    sent = [None if t is None else zlib.compress(t.tobytes(), 1) for t in (now, old)]
+
     def run(batches):
+        now, old = (None if t is None else np.frombuffer(zlib.decompress(t), np.uint64) for t in sent)
         for b in batches:
             langs = b.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
