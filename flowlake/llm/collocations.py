@@ -35,6 +35,8 @@ SHARDS = 3
 LONGEST, LEAST, ROWS, HIDES = 4, 30, 2000, 80
 #: Texts counted in one numpy pass, in bytes; bits of the table of phrases that have reached the threshold.
 SLICE_BYTES, BITS = 8 << 20, 1 << 26
+#: Counts by text that a task adds up before it hands them on.
+KEPT = 1 << 20
 #: Parts that the joins on a hot word are dealt into.
 SALTS = 16
 NO_LANG = "und"
@@ -56,11 +58,9 @@ def split_words(column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.
     edge = offsets[:-1][offsets[:-1] < len(raw)]
     begins[edge] = inside[edge]
     breaks = _BREAKS[raw]
-    cut = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(cut, edge, 1)
     at = np.flatnonzero(begins)
-    piece = (np.cumsum(breaks) + np.cumsum(cut[:-1]))[at]
-    kept = np.cumsum(inside)
+    piece = np.cumsum(breaks, dtype=np.int32)[at] + np.searchsorted(edge, at, side="right")
+    kept = np.cumsum(inside, dtype=np.int32)
     lengths = np.diff(np.append(kept[at] - 1, kept[-1] if len(kept) else 0))
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw[inside])))
@@ -137,11 +137,16 @@ def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndar
 
 
 def _scan(rows: DataFrame, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> DataFrame:
-    """Counts of some texts, added up slice by slice; the tables travel compressed."""
+    """Counts of some texts, by hash added up slice by slice, by text over as many slices as ``KEPT`` rows hold.
+
+    The tables travel compressed.
+    """
     sent = [None if t is None else zlib.compress(t.tobytes(), 1) for t in (now, old)]
+    names = ["lang", "phrase", "size", "n"] if exact else ["h", "size", "n"]
 
     def run(batches):
         now, old = (None if t is None else np.frombuffer(zlib.decompress(t), np.uint64) for t in sent)
+        kept, n_kept = [], 0
         for b in batches:
             langs = b.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
@@ -150,12 +155,28 @@ def _scan(rows: DataFrame, words_too: bool, now: np.ndarray | None, old: np.ndar
                     for size, phrases, n in count_slice(part, lang, words_too, now, old, exact):
                         head = ([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), phrases] if exact
                                 else [pa.array(phrases.view(np.int64))])
-                        yield pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())],
-                                                         [*(["lang", "phrase"] if exact else ["h"]), "size", "n"])
+                        counts = pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())], names)
+                        if not exact:
+                            yield counts
+                            continue
+                        kept, n_kept = [*kept, counts], n_kept + len(n)
+                    if n_kept > KEPT:
+                        whole = _added_up(kept)
+                        kept, n_kept = whole.to_batches(), whole.num_rows
+                        if n_kept > KEPT // 2:
+                            yield from kept
+                            kept, n_kept = [], 0
+        if kept:
+            yield from _added_up(kept).to_batches()
 
     return rows.mapInArrow(run, "lang string, phrase string, size int, n long" if exact else "h long, size int, n long")
 
 
+def _added_up(parts: list[pa.RecordBatch]) -> pa.Table:
+    whole = pa.Table.from_batches(parts).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
+    return whole.select(["lang", "phrase", "size", "n_sum"]).rename_columns(["lang", "phrase", "size", "n"]).combine_chunks()
+
+
 def _bits(reached: DataFrame) -> np.ndarray:
     """The bit table of the phrases ``(h)``; what comes to the driver is bounded by the table."""
     mask = F.lit(BITS - 1).cast("long")

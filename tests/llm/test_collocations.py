@@ -76,6 +76,16 @@ def test_a_full_table_of_bits_changes_nothing(spark, monkeypatch):
         assert sorted(map(tuple, collocations.phrase_counts(table, 12).collect())) == want
 
 
+def test_counts_are_handed_on_early_where_they_are_many(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(80)), r.choice(["en", "de"])) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted(map(tuple, collocations.phrase_counts(table, 5).collect()))
+    monkeypatch.setattr(collocations, "KEPT", 8)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 500)
+    assert sorted(map(tuple, collocations.phrase_counts(table, 5).collect())) == want
+
+
 def test_no_documents(spark):
     empty = docs(spark, []).selectExpr("*", "cast(null as string) as lang") if "lang" not in docs(spark, []).columns else docs(spark, [])
     assert collocations.collocations(collocations.phrase_counts(empty)).count() == 0
