@@ -3,9 +3,9 @@
 The packing problem is a covering programme over *configurations* (how many pieces of each
 length share a sequence), and its data is only the histogram of lengths.  Multiplicative weights
 price the lengths, a knapsack dynamic programme finds the most valuable configuration at these
-prices, and lengths that lag behind become dearer.  The fractional solution is rounded down and
-the remainder is packed by best fit, again on the histogram.  Pieces then get their places from
-their rank among pieces of their length; no group of pieces is ever gathered.
+prices, and lengths that lag behind become dearer.  The fractional solution is rounded down, the programme
+is solved again for the remainder, and the last of it is packed by best fit.  All of this is work
+on the histogram, whatever the size of the input.  Pieces then get their places from their rank among pieces of their length; no group of pieces is ever gathered.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from flowlake.llm.common import slices, stored, texts
 from flowlake.llm.tokens import default_path, encoder
 
-#: Pricing rounds of the multiplicative weights; also bounds the configurations.
-ROUNDS = 300
+#: Pricing rounds of the multiplicative weights in the first programme.
+ROUNDS = 16
+#: Share of all tokens that is left to best fit alone.
+LAST = 0.01
 #: How strongly a lag in coverage raises a price.
 RATE = 4.0
 
@@ -67,48 +69,71 @@ def cut_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_id:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def _dearest(lengths: np.ndarray, price: np.ndarray, size: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how many of each length make the dearest full sequence."""
-    value, last = np.zeros(size + 1), np.full(size + 1, -1)
+def _values(lengths: np.ndarray, price: np.ndarray, size: int) -> np.ndarray:
+    """Knapsack by dynamic programming: worth of the dearest pieces that fill each room, -inf where none do."""
+    value = np.full(size + 1, -np.inf)
+    value[0] = 0.0
     upto = np.searchsorted(lengths, np.arange(size + 1), side="right")
     for c in range(1, size + 1):
         k = upto[c]
         if k:
-            worth = value[c - lengths[:k]] + price[:k]
-            best = int(worth.argmax())
-            if worth[best] > value[c - 1]:
-                value[c], last[c] = worth[best], best
-                continue
-        value[c] = value[c - 1]
-    counts, c = np.zeros(len(lengths), np.int64), size
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            counts[last[c]] += 1
-            c -= lengths[last[c]]
-    return counts
+            value[c] = (value[c - lengths[:k]] + price[:k]).max()
+    return value
+
+
+def _configuration(own: int, room: int, value: np.ndarray, lengths: np.ndarray, price: np.ndarray,
+                   left: np.ndarray, least: float) -> dict[int, int] | None:
+    """The dearest way through the table for a piece of length ``own`` and pieces that fill ``room``.
+
+    Only lengths of which ``least`` more are left are taken; None where that leads nowhere.
+    """
+    config = {own: 1}
+    while room:
+        k = int(np.searchsorted(lengths, room, side="right"))
+        worth = value[room - lengths[:k]] + np.where(left[:k] >= least, price[:k], -np.inf)
+        for i, n in config.items():
+            if i < k and left[i] < least * (n + 1):
+                worth[i] = -np.inf
+        if not k or worth[best := int(worth.argmax())] == -np.inf:
+            return None
+        config[best] = config.get(best, 0) + 1
+        room -= int(lengths[best])
+    return config
 
 
 def solve_programme(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = ROUNDS,
-                    rate: float = RATE) -> list[tuple[np.ndarray, float]]:
-    """Fractional covering of ``demand``: pairs of a configuration and how often it is used."""
-    left, total = demand.astype(float), float((lengths * demand).sum())
-    step, out = total / size / rounds, {}
-    for _ in range(2 * rounds):
-        alive = np.flatnonzero(left > 1e-9 * demand)
-        done = 1 - float((lengths * left).sum()) / total
-        if not len(alive) or done > 1 - 0.5 / rounds:
-            break
-        lag = done - (1 - left[alive] / demand[alive])
-        counts = _dearest(lengths[alive], lengths[alive] / size * np.exp(rate * lag), size)
-        used = np.flatnonzero(counts)
-        often = min(step, float((left[alive[used]] / counts[used]).min()))
-        config = np.zeros(len(lengths), np.int64)
-        config[alive] = counts
-        left = np.maximum(left - config * often, 0)
-        out[config.tobytes()] = (config, out.get(config.tobytes(), (None, 0.0))[1] + often)
-    return list(out.values())
+                    rate: float = RATE, whole: bool = False) -> list[tuple[dict[int, int], float]]:
+    """Covering of ``demand``: pairs of a configuration, ``{index of a length: pieces}``, and how often it is used.
+
+    Round ``k`` of ``rounds`` brings every length to the share ``k / rounds`` of its demand, the
+    dearest first, each by the dearest configuration that holds it.  The knapsack is solved at the
+    prices a round begins with; a price falls as soon as a configuration serves its length.
+    Sequences are filled to the end as long as any configuration does that, then as far as possible.
+    ``whole`` uses configurations whole times.
+    """
+    demand = demand.astype(float)
+    left, out, least = demand.copy(), {}, 1.0 if whole else 1e-6
+    for k in range(1, rounds + 1):
+        behind = 1 - k / rounds
+        price = lengths / size * np.exp(rate * (left / demand - behind))
+        value = _values(lengths, np.where(left >= least, price, -np.inf), size)
+        room = size - lengths
+        if not (value[room] > -np.inf)[left >= least].any():
+            room = np.maximum.accumulate(np.where(value > -np.inf, np.arange(size + 1), 0))[room]
+        for own in np.argsort(-price, kind="stable").tolist():
+            while left[own] - behind * demand[own] >= least and value[room[own]] > -np.inf:
+                config = _configuration(own, int(room[own]), value, lengths, price, left, least)
+                if config is None:
+                    break
+                wanted = (left[own] - behind * demand[own]) / config[own]
+                often = min(wanted, *(left[i] / n for i, n in config.items()))
+                often = max(np.floor(often), 1.0) if whole else often
+                for i, n in config.items():
+                    left[i] = max(left[i] - n * often, 0.0)
+                    price[i] = lengths[i] / size * np.exp(rate * (left[i] / demand[i] - behind))
+                key = tuple(sorted(config.items()))
+                out[key] = out.get(key, 0.0) + often
+    return [(dict(key), often) for key, often in out.items()]
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
@@ -152,6 +177,7 @@ class Layout:
     sequence: np.ndarray
     offset: np.ndarray
     n_sequences: int
+    programme_pieces: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = np.empty(len(length), np.int64)
@@ -165,23 +191,36 @@ class Layout:
 
 
 def plan_layout(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = ROUNDS) -> Layout:
-    """Configurations for the whole histogram, rounded down, and best fit for the remainder.
+    """Configurations for the whole histogram, rounded down, then for what is left, and so on.
 
-    Only configurations that fill a sequence are taken, so what is wasted is wasted by best fit.
+    Each programme on what is left has half the rounds of the one before, so its shares are larger
+    and less is lost by rounding down; the last ones have a single round.  Best fit packs what no
+    configuration takes, at the latest what is less than ``LAST`` of all.  Of these layouts, that
+    of the fewest sequences is kept, the one with the most pieces from programmes among equals.
     """
     order = np.argsort(lengths)
     lengths, demand = np.asarray(lengths, np.int64)[order], np.asarray(demand, np.int64)[order]
-    left, chosen = demand.copy(), []
-    rounds = min(rounds, int((lengths * demand).sum()) // (4 * size))
-    for config, often in solve_programme(lengths, demand, size, rounds) if rounds else []:
-        used = np.flatnonzero(config)
-        if (config * lengths).sum() < size:
-            continue
-        n = int(min(np.floor(often), (left[used] // config[used]).min()))
-        if n > 0:
-            left -= config * n
-            chosen.append(({int(lengths[i]): int(config[i]) for i in used}, n))
-    chosen += best_fit(lengths, left, size)
+    left, taken = demand.copy(), []
+    total = int((lengths * demand).sum())
+    chosen = best_fit(lengths, left, size)
+    fewest, by_programme = sum(n for _, n in chosen), 0
+    while (lengths * left).sum() > LAST * total:
+        before, alive = len(taken), np.flatnonzero(left)
+        for config, often in solve_programme(lengths[alive], left[alive], size, rounds, whole=rounds == 1):
+            config = {int(alive[i]): k for i, k in config.items()}
+            n = min(int(often + 1e-6), *(int(left[i]) // k for i, k in config.items()))
+            if n > 0:
+                for i, k in config.items():
+                    left[i] -= k * n
+                taken.append(({int(lengths[i]): k for i, k in config.items()}, n))
+        if len(taken) == before and rounds == 1:
+            break
+        if len(taken) > before:
+            rest = best_fit(lengths, left, size)
+            n = sum(n for _, n in taken) + sum(n for _, n in rest)
+            if n <= fewest:
+                fewest, chosen, by_programme = n, taken + rest, int((demand - left).sum())
+        rounds = max(rounds // 2, 1)
     entries, next_rank, sequence = [], dict.fromkeys(lengths.tolist(), 0), 0
     for config, often in chosen:
         offset = 0
@@ -191,7 +230,7 @@ def plan_layout(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int
             offset += k * x
         sequence += often
     table = np.array(sorted(entries), np.int64).reshape(-1, 5)
-    return Layout(*table.T.copy(), sequence)
+    return Layout(*table.T.copy(), sequence, by_programme)
 
 
 def _numbered(pieces: DataFrame) -> DataFrame:
