@@ -83,13 +83,13 @@ _TEXTS = "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents"
 
 
 def _quality_sql() -> str:
-    rules = {r: (e, grid) for r, (e, grid) in sorted(quality.RULES.items())}
-    rejected = ", ".join(f"count(*) FILTER (WHERE {e} > {c}) AS k_{r}_{i}" for r, (e, grid) in rules.items() for i, c in enumerate(grid))
-    tries = " UNION ALL ".join(f"SELECT lang, n, '{r}' AS rule, {c} AS cutoff, k_{r}_{i} AS k FROM counted"
-                               for r, (_, grid) in rules.items() for i, c in enumerate(grid))
-    rate, error = quality.RATE / len(rules), quality.ERROR / sum(len(grid) for _, grid in rules.values())
-    failed = ", ".join(f"CASE WHEN {e} > (SELECT min(cutoff) FROM passed p WHERE p.lang = c.lang AND p.rule = '{r}') THEN '{r}' END"
-                       for r, (e, _) in rules.items())
+    steps = quality.vectors()
+    lost = ", ".join("count(*) FILTER (WHERE NOT base_failed AND (" + " OR ".join(
+        f"coalesce({e} > {v[r]}, false)" for r, (e, _) in quality.RULES.items()) + f")) AS k{i}" for i, v in enumerate(steps))
+    tries = " UNION ALL ".join(f"SELECT lang, n, {i} AS step, k{i} AS k FROM counted" for i in range(len(steps)))
+    failed = ", ".join(f"CASE WHEN {e} > ([{', '.join(str(v[r]) for v in steps)}])[failed_step] THEN '{r}' END"
+                       for r, (e, _) in sorted(quality.RULES.items()))
+    rate, error = quality.RATE, quality.ERROR
     return rf"""
     WITH t AS ({_TEXTS}),
     w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i
@@ -107,13 +107,16 @@ def _quality_sql() -> str:
           FROM t LEFT JOIN covered c ON c.doc_id = t.doc_id),
     c AS MATERIALIZED (SELECT *, n_lines - n_different AS n_dup_lines,
                  n_words < {quality.FEWEST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM m),
-    counted AS MATERIALIZED (SELECT lang, count(*) AS n, {rejected} FROM c
+    counted AS MATERIALIZED (SELECT lang, count(*) AS n, {lost} FROM c
                 WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang),
     tests AS ({tries}),
-    passed AS MATERIALIZED (SELECT lang, rule, cutoff FROM tests WHERE k < n * {rate} AND list_sum(list_transform(range(0, k + 1), lambda j:
+    tested AS (SELECT lang, step, k < n * {rate} AND list_sum(list_transform(range(0, k + 1), lambda j:
                exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate}))))
-               <= {error} / (SELECT count(*) FROM counted)),
-    judged AS (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM c)
+               <= {error} / (SELECT count(*) FROM counted) AS passes FROM tests),
+    -- list positions start at 1, so the step before the first failed one stands at the failed one's number
+    chosen AS MATERIALIZED (SELECT lang, coalesce(min(step) FILTER (WHERE NOT passes), {len(steps)}) AS failed_step FROM tested GROUP BY lang),
+    judged AS (SELECT c.*, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed
+               FROM c LEFT JOIN chosen ON chosen.lang IS NOT DISTINCT FROM c.lang AND failed_step > 0)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM judged"""
 

@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.llm import dedup, graph, jaccard, licences, pii, quality, toxicity
+from flowlake.llm import dedup, graph, jaccard, licences, pii, quality, queries, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, digest string, kept string, n long"
@@ -110,6 +111,21 @@ def test_vectors_reach_small_strata(spark):
     assert len(steps) == 21 and all(sum(a[r] != b[r] for r in a) == 1 and all(a[r] >= b[r] for r in a) for a, b in zip(steps, steps[1:]))
 
 
+def test_cutoffs_decide_in_query_and_sql(spark):
+    """At this scale en has enough good labels: query and SQL reject the same documents by cutoffs."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    want = con.execute(queries.SQL["op8_quality_rules"]).fetchall()
+    names = [x[0] for x in con.description]
+    got = queries.op8_quality_rules(spark, folder).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    at = {n: i for i, n in enumerate(names)}
+    by_cutoff = [r for r in want if not r[at["kept"]] and not r[at["base_failed"]]]
+    assert by_cutoff and all(r[at["failed_rules"]] for r in by_cutoff)
+
+
 def shingles(text):
     w = WORD.findall(text or "")
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
