@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake import schema as S
 from flowlake.functions.scalars import name
+from flowlake.operators import tuning
 from flowlake.operators.scoring import safe_label
 from flowlake.plans import train_job as J
 from flowlake.queries import learning as Q
@@ -73,6 +74,18 @@ def cv_check(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count("*").alias("n_folds"), F.count_if((F.col(score) < 0) | (F.col(score) > 1)).alias("n_wrong"))
 
 
+def search_check(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates, values of theirs that were not drawn, and whether the winner had most rounds and learned the rule."""
+    drawn = [{k: float(v) for k, v in p.items()} for p in tuning.draws(tuning.RANGED_SPACE, Q.SEARCH_DRAWS)]
+    found = Q.search(spark, d).orderBy("place").collect()
+    changed = sum(r["params"] not in drawn for r in found)
+    most = found[0]["rounds"] == max(r["rounds"] for r in found) == Q.SEARCH_BUDGET
+    halved = sorted(r["rounds"] for r in found)[:len(found) // 2] == [1] * (len(found) // 2)
+    return table(spark, d, "lineitem").agg((F.count("*") > 0).alias("any_row")).select(
+        F.lit(len(found)).cast("long").alias("n"), F.lit(changed).cast("long").alias("n_changed"), F.lit(most).alias("winner_ran_longest"),
+        F.lit(halved).alias("half_left_first"), F.lit(found[0]["f1_macro"] > 0.6).alias("learned"))
+
+
 def importance_check(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the table of the ten most important features, and whether they are shares in order."""
     rows = [r["importance"] for r in Q.importance(spark, d).collect()]
@@ -106,7 +119,7 @@ def ablation_rows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     sample_check, fingerprint_check, scored_check, train_forest_support, train_binary_support, train_boosted_record,
-    cv_check, importance_check, attribution_check, generalisation_rows, ablation_rows)}
+    cv_check, search_check, importance_check, attribution_check, generalisation_rows, ablation_rows)}
 
 _CLASS = """CASE WHEN l_extendedprice > 60000 THEN 'DoS'
   WHEN l_quantity < 12 AND l_discount > 0.03 THEN 'Bot' ELSE 'Normal Traffic' END"""
@@ -127,6 +140,8 @@ FROM li GROUP BY 1""",
     "train_boosted_record": f"""WITH {LINEITEM_SQL}
 SELECT count(*) AS n, count(DISTINCT {_CLASS}) AS n_classes, true AS learned, true AS support_is_test FROM li""",
     "cv_check": f"SELECT least({_FOLDS}, count(*)) AS n_folds, 0 AS n_wrong FROM embeddings",
+    "search_check": f"""SELECT {Q.SEARCH_DRAWS} AS n, 0 AS n_changed, true AS winner_ran_longest, true AS half_left_first,
+  true AS learned FROM (SELECT count(*) AS n FROM lineitem)""",
     "importance_check": "SELECT least(10, len(embedding)) AS n, true AS in_order, true AS are_shares FROM embeddings LIMIT 1",
     "attribution_check": f"""WITH {LINEITEM_SQL}
 SELECT 4 * count(DISTINCT {_CLASS}) AS n, 4 AS n_features, 0 AS n_wrong, true AS any_effect FROM li""",

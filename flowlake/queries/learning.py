@@ -88,13 +88,16 @@ def cv_scores(spark: SparkSession, d: str) -> DataFrame:
     return tuning.fold_frame(spark, scores)
 
 
+SEARCH_DRAWS, SEARCH_BUDGET = 4, 4
+
+
 def search(spark: SparkSession, d: str) -> DataFrame:
+    """Successive halving over drawn candidates: one round of boosting, then two, then ``SEARCH_BUDGET``."""
     rows = splits.group_folds(labelled(spark, d), k=2)
-    tries = [{**p, "n_estimators": 2, "max_depth": min(p["max_depth"], 4)}
-             for p in tuning.draws(tuning.RANGED_SPACE, 2)]
-    found = tuning.search(rows, ["Fwd IAT Mean", "Flow Bytes/s", "Flow IAT Std"], "Attack Type", tries)
-    return spark.createDataFrame([({k: float(v) for k, v in p.items()}, s) for p, s in found],
-                                 "params map<string,double>, f1_macro double")
+    found = tuning.halving(rows, ["Fwd IAT Mean", "Flow Bytes/s", "Flow IAT Std"], "Attack Type",
+                           tuning.draws(tuning.RANGED_SPACE, SEARCH_DRAWS), first=1, budget=SEARCH_BUDGET)
+    return spark.createDataFrame([(i, {k: float(v) for k, v in p.items()}, n, s) for i, (p, n, s) in enumerate(found)],
+                                 "place int, params map<string,double>, rounds int, f1_macro double")
 
 
 def importance(spark: SparkSession, d: str) -> DataFrame:

@@ -134,3 +134,26 @@ def test_fingerprint(flows):
     assert a == J.fingerprint(flows.repartition(5)).first()
     assert a != J.fingerprint(flows.unionByName(flows.limit(1))).first()
     assert a != J.fingerprint(flows.withColumn("flat", F.lit(2.0))).first()
+
+
+def test_halving(spark, flows, monkeypatch):
+    """Scores come from a rule, so that rounds and survivors can be told in advance."""
+    seen = []
+
+    def scores(rows, features, label, fold, kind, params, weighted):
+        seen.append((params["id"], params["n_estimators"]))
+        return [(0, params["q"]), (1, params["q"] + 0.1)]
+
+    monkeypatch.setattr(tuning, "cross_validate", scores)
+    assert tuning.rungs(100, 25) == [25, 50, 100] and tuning.rungs(10, 25) == [10] and tuning.rungs(70, 30) == [30, 60, 70]
+    tries = [{"id": i, "q": q, "n_estimators": n} for i, (q, n) in enumerate(((0.1, 200), (0.7, 30), (0.5, 400), (0.7, 300), (0.2, 50)))]
+    out = tuning.halving(flows, [], "Attack Type", tries, first=25)
+    assert [(p["q"], p["n_estimators"], n) for p, n, _ in out] == [
+        (0.7, 30, 30), (0.7, 300, 100), (0.5, 400, 50), (0.2, 50, 25), (0.1, 200, 25)]
+    assert [s for _, _, s in out] == pytest.approx([0.75, 0.75, 0.55, 0.25, 0.15])
+    assert sorted(seen) == [(0, 25), (1, 25), (1, 30), (2, 25), (2, 50), (3, 25), (3, 50), (3, 100), (4, 25)]  # no step runs twice
+    one = tuning.halving(flows, [], "Attack Type", tries[2:3], first=25)
+    assert [(n, round(s, 2)) for _, n, s in one] == [(400, 0.55)]
+    assert tuning.halving(flows, [], "Attack Type", []) == []
+    with pytest.raises(ValueError):
+        tuning.rungs(10, 0)
