@@ -1,10 +1,12 @@
 """Personal data: pattern spans, and a skip-chain conditional random field that keeps a document consistent.
 
 Tokens with a digit or an ``@`` are the nodes of a document's field.  Neighbouring nodes share a
-chain potential; a node and the next one with the same text or the same digits share a skip
-potential, however far apart they are.  Potentials are counted over the whole corpus with the
-pattern spans as labels; labels of pattern spans are fixed, the others are inferred by loopy
-message passing over all documents of a batch at once.  What the patterns found always stays.
+chain potential.  All nodes of a document with the same text, or with the same digits, hang on one
+hub, the label of the thing they name, by a skip potential: two mentions are two steps apart
+wherever they stand.  Repeats that no pattern found speak to their hub with one voice, however many
+they are.  Potentials are counted over the whole corpus with the pattern spans as labels, once per
+document and token; labels of pattern spans are fixed, the others are inferred by loopy message
+passing, in each document until it settles.  What the patterns found always stays.
 """
 
 from __future__ import annotations
@@ -35,10 +37,14 @@ _NODE = re.compile(r"[0-9@]")
 _EDGES = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
 #: Buckets of token shapes; bounds the counted tables.
 SHAPES = 4096
-#: Share of true mentions that the patterns are taken to find, rounds and damping of the messages, least belief.
-PATTERN_RECALL, ROUNDS, DAMPING, BELIEF = 0.98, 12, 0.3, 0.9
-#: Edges of independent labels that are added to the counted ones.
-SMOOTHING = 50
+#: Share of true mentions that the patterns are taken to find, damping of the messages, least belief.
+PATTERN_RECALL, DAMPING, BELIEF = 0.98, 0.3, 0.9
+#: A document has settled when no message changes by more than this; one that swings is left after so many rounds.
+SETTLED, ROUNDS = 1e-4, 500
+#: Edges added to the counted ones: of independent labels in a chain; at a hub this share of them agrees.
+SMOOTHING, AGREEING = 50, 0.9
+#: Digits of the shortest phone number and of the shortest text that repeats by its digits alone.
+PHONE_DIGITS, LEAST_DIGITS = 9, 4
 _LABELS = len(KINDS) + 1
 
 
@@ -95,13 +101,17 @@ def _allowed(token: str) -> list[bool]:
 
 
 class Field:
-    """The nodes and edges of some texts."""
+    """The nodes, chain edges and hubs of some texts.
+
+    A node inside a pattern span of several tokens is a part of a mention: it hangs on no hub by its
+    own text unless it could be a number by itself, and the first part stands for the span's digits.
+    """
 
     def __init__(self, documents: list[str], spans: list[list[tuple[int, int, int]]]):
         self.doc, self.start, self.end, self.label, self.shape, allowed = [], [], [], [], [], []
-        chain, skip = [], []
+        chain, inside, members, self.hub_doc, things = [], [], [], [], []
         for d, (text, found) in enumerate(zip(documents, spans)):
-            last_at, seen, k = -2, {}, 0
+            last_at, last_span, k, hubs, named = -2, None, 0, {}, {}
             for at, m in enumerate(_TOKEN.finditer(text)):
                 token = m[0]
                 if not _NODE.search(token):
@@ -113,7 +123,8 @@ class Field:
                 end = start + len(core)
                 while k < len(found) and found[k][2] <= start and found[k][0] < start:
                     k += 1
-                label = next((kind + 1 for s, kind, e in found[k:k + 8] if s < end and e > start), 0)
+                span = next((x for x in found[k:k + 8] if x[0] < end and x[2] > start), None)
+                label = span[1] + 1 if span else 0
                 i = len(self.doc)
                 self.doc.append(d)
                 self.start.append(start)
@@ -123,25 +134,52 @@ class Field:
                 allowed.append(_allowed(core))
                 if last_at == at - 1:
                     chain.append((i - 1, i))
-                last_at = at
+                    inside.append(span is not None and span == last_span)
+                part = span is not None and not (m.start() <= span[0] and span[2] <= m.end())
                 digits = "".join(_DIGITS.findall(core))
-                for key in {core.lower(), digits} if len(digits) >= 4 else {core.lower()}:
-                    if key in seen and seen[key] != i:
-                        skip.append((seen[key], i))
-                    seen[key] = i
+                keys = set()
+                if not part or len(digits) >= PHONE_DIGITS:
+                    number = len(digits) >= LEAST_DIGITS and "@" not in core and not _IP.fullmatch(core)
+                    keys = {core.lower(), "#" + digits} if number and core != digits else {"#" + digits if number else core.lower()}
+                if part and span != last_span:
+                    keys.add("#" + "".join(_DIGITS.findall(text[span[0]:span[2]])))
+                for key in keys:
+                    hubs.setdefault(key, []).append(i)
+                named.setdefault((core.lower(), part), (self.shape[-1], set()))[1].add(label)
+                last_at, last_span = at, span
+            for nodes in hubs.values():
+                if len(nodes) > 1:
+                    members += [(i, len(self.hub_doc)) for i in nodes]
+                    self.hub_doc.append(d)
+            things += [(shape, label) for shape, labels in named.values() for label in (labels - {0} or {0})]
+        self.doc, self.hub_doc = np.array(self.doc, np.int64), np.array(self.hub_doc, np.int64)
         self.label, self.shape = np.array(self.label, np.int64), np.array(self.shape, np.int64)
         self.allowed = np.array(allowed, bool).reshape(-1, _LABELS)
-        self.chain = np.array(chain, np.int64).reshape(-1, 2)
-        self.skip = np.array(sorted(set(skip)), np.int64).reshape(-1, 2)
+        self.chain, self.inside = np.array(chain, np.int64).reshape(-1, 2), np.array(inside, bool)
+        self.members = np.array(members, np.int64).reshape(-1, 2)
+        self.things = np.array(things, np.int64).reshape(-1, 2)
 
 
 def _counts(field: Field) -> np.ndarray:
-    """Nodes by shape and label, then chain and skip edges by both labels, in one vector."""
-    out = [np.bincount(field.shape * _LABELS + field.label, minlength=SHAPES * _LABELS)]
-    for edges in (field.chain, field.skip):
-        pair = field.label[edges]
-        out.append(np.bincount(pair[:, 0] * _LABELS + pair[:, 1], minlength=_LABELS ** 2))
-    return np.concatenate(out)
+    """Things by shape and label, chain edges by both labels, hubs by their label and their mentions', in one vector.
+
+    A thing is a token text of a document, labelled if any mention of it is.  Edges inside one span
+    say nothing.  A hub without a label counts as none; one with labels counts its mentions that have
+    one: of the others it is not known whether they are of the kind.
+    """
+    out = [np.bincount(field.things[:, 0] * _LABELS + field.things[:, 1], minlength=SHAPES * _LABELS)]
+    pair = field.label[field.chain[~field.inside]]
+    out.append(np.bincount(pair[:, 0] * _LABELS + pair[:, 1], minlength=_LABELS ** 2))
+    seen = np.zeros((len(field.hub_doc), _LABELS), np.int64)
+    np.add.at(seen, (field.members[:, 1], field.label[field.members[:, 0]]), 1)
+    some = seen[:, 1:].any(1)
+    own = np.where(some, seen[:, 1:].argmax(1) + 1 if len(seen) else 0, 0)
+    both = np.zeros((_LABELS, _LABELS), np.int64)
+    both[0, 0] = np.count_nonzero(~some)
+    several = seen[:, 1:].sum(1) > 1
+    for h in range(1, _LABELS):
+        both[h, 1:] = np.count_nonzero(seen[several & (own == h), 1:], axis=0)
+    return np.concatenate([*out, both.ravel()])
 
 
 class Potentials:
@@ -153,43 +191,61 @@ class Potentials:
         missed[:, 0] = nodes[:, 0] + 1
         self.node = np.log(missed + 1e-6)
         share = (nodes.sum(0) + 1) / (nodes.sum() + _LABELS)
-        self.edge = []
-        for k in range(2):
-            pairs = counts[SHAPES * _LABELS + k * _LABELS ** 2:][:_LABELS ** 2].reshape(_LABELS, _LABELS).astype(float)
-            pairs = pairs + pairs.T + SMOOTHING * np.outer(share, share)
-            joint = pairs / pairs.sum()
-            self.edge.append(np.log(joint / np.outer(joint.sum(1), joint.sum(0))))
+        chain, hub = counts[SHAPES * _LABELS:].reshape(2, _LABELS, _LABELS).astype(float)
+        joint = chain + chain.T + SMOOTHING * np.outer(share, share)
+        joint /= joint.sum()
+        self.chain = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
+        agree = hub + SMOOTHING * (AGREEING * np.eye(_LABELS) + (1 - AGREEING) * share)
+        self.hub = np.log(share)
+        #: Log of P(label of a mention | label of its hub) over the mention's share; rows are the hub's labels.
+        self.member = np.log(agree / agree.sum(1, keepdims=True) / share)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    top = x.max(1, keepdims=True)
+    return x - top - np.log(np.exp(x - top).sum(1, keepdims=True))
 
 
 def infer(field: Field, potentials: Potentials) -> np.ndarray:
-    """Beliefs ``(nodes, labels)`` by damped sum-product messages along all edges at once."""
+    """Beliefs ``(nodes, labels)`` by damped sum-product messages along all edges at once.
+
+    A document takes part until its own messages have settled, so its beliefs do not depend on the
+    documents it is read with.
+    """
+    n, hubs = len(field.doc), len(field.hub_doc)
     unary = np.where(field.allowed, potentials.node[field.shape], -50.0)
     fixed = np.flatnonzero(field.label)
     unary[fixed] = -50.0
     unary[fixed, field.label[fixed]] = 0.0
-    edges = np.concatenate([field.chain, field.skip])
-    kind = np.repeat([0, 1], [len(field.chain), len(field.skip)])
-    source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    table = np.stack(potentials.edge)[np.concatenate([kind, kind])]
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    messages = np.zeros((len(source), _LABELS))
-
-    def normal(x):
-        top = x.max(1, keepdims=True)
-        return x - top - np.log(np.exp(x - top).sum(1, keepdims=True))
-
-    belief = unary.copy()
-    for _ in range(ROUNDS if len(source) else 0):
-        out = (belief[source] - messages[back])[:, :, None] + table
-        top = out.max(1)
-        new = normal(top + np.log(np.exp(out - top[:, None, :]).sum(1)))
-        change = np.abs(new - messages).max()
-        messages = DAMPING * messages + (1 - DAMPING) * new
-        belief = unary.copy()
-        np.add.at(belief, target, messages)
-        if change < 1e-4:
+    unary = np.concatenate([unary, np.tile(potentials.hub, (hubs, 1))])
+    doc = np.concatenate([field.doc, field.hub_doc])
+    node, hub = field.members[:, 0], field.members[:, 1]
+    source = np.concatenate([field.chain[:, 0], field.chain[:, 1], node, hub + n])
+    target = np.concatenate([field.chain[:, 1], field.chain[:, 0], hub + n, node])
+    c, m = len(field.chain), len(field.members)
+    kind = np.repeat([0, 1, 2], [2 * c, m, m])
+    tables = np.stack([potentials.chain, potentials.member.T, potentials.member])
+    back = np.concatenate([np.arange(c, 2 * c), np.arange(c), np.arange(2 * c + m, 2 * c + 2 * m), np.arange(2 * c, 2 * c + m)])
+    free = field.label[node] == 0
+    weight = np.ones(len(source))
+    weight[2 * c:2 * c + m] = np.where(free, 1 / np.maximum(1, np.bincount(hub[free], minlength=hubs))[hub], 1)
+    weight = weight[:, None]
+    messages, belief = np.zeros((len(source), _LABELS)), unary.copy()
+    going = np.arange(len(source))
+    documents = int(field.doc.max()) + 1 if n else 0
+    for _ in range(ROUNDS):
+        if not len(going):
             break
-    return np.exp(normal(belief))
+        out = (belief[source[going]] - (weight * messages)[back[going]])[:, :, None] + tables[kind[going]]
+        top = out.max(1)
+        new = _normal(top + np.log(np.exp(out - top[:, None, :]).sum(1)))
+        change = np.zeros(documents)
+        np.maximum.at(change, doc[source[going]], np.abs(new - messages[going]).max(1))
+        messages[going] = DAMPING * messages[going] + (1 - DAMPING) * new
+        belief[target[going]] = unary[target[going]]
+        np.add.at(belief, target[going], weight[going] * messages[going])
+        going = going[change[doc[source[going]]] > SETTLED]
+    return np.exp(_normal(belief[:n])) if n else np.zeros((0, _LABELS))
 
 
 def added_spans(field: Field, beliefs: np.ndarray, texts_: list[str], spans: list) -> list[list[tuple[int, int, int]]]:

@@ -1,6 +1,7 @@
 """Exact duplicates, quality rules, similarity join, personal data, toxicity and licences against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -252,6 +253,69 @@ def test_spans_and_mask(spark):
     assert pii.digest(pii.find_spans(docs(spark, []))).count() == 0 and pii.mask(docs(spark, [])).count() == 0
 
 
+def card_number(r):
+    body = [4, *[r.randrange(10) for _ in range(14)]]
+    return next(x for x in ("".join(map(str, body)) + str(c) for c in range(10)) if pii.luhn(x))
+
+
+def hidden_repeats(r, k, gap=3):
+    """A card in plain sight, then k mentions behind a number that makes the pattern's match fail."""
+    card = card_number(r)
+    behind = next(n for n in range(1, 90) if not pii.luhn(f"{n}{card}"))
+    return card, f"pay {card} now " + " ".join(f"{'word ' * gap}{behind} {card}" for _ in range(k))
+
+
+def test_hidden_repeats(spark):
+    """One plain mention brings back all hidden ones of its document, however many and however far away."""
+    r = random.Random(14)
+    counts = [1, 3, 6, 12, 25, 50]
+    made = [hidden_repeats(r, k) for k in counts for _ in range(20)] + [hidden_repeats(r, 50, gap=400)]
+    rows = [(i, t) for i, (_, t) in enumerate(made)]
+    clean = [(5000 + i, f"room {i % 90} and house 4455 beside room {i % 90}, year 2024, order {10 ** 11 + i} and 1.2.3.400") for i in range(500)]
+    got = {x["doc_id"]: x for x in pii.find_spans(docs(spark, rows + clean)).collect()}
+    for i, (card, text) in enumerate(made):
+        want = [m.start() for m in re.finditer(card, text)]
+        assert [x["start"] for x in sorted([*got[i]["base"], *got[i]["added"]])] == want, (i, text[:80])
+        assert len(got[i]["base"]) == 1 and all(x["kind"] == "card" for x in got[i]["added"])
+    assert not any(got[i]["added"] for i, _ in clean)
+    masked = pii.mask(docs(spark, rows + clean)).where("doc_id < 5000").collect()
+    assert not any(made[x["doc_id"]][0] in x["text"] for x in masked)
+
+
+def field_of(texts):
+    return pii.Field(texts, [pii.pattern_spans(t) for t in texts])
+
+
+def test_inference_on_trees():
+    """Beliefs are the marginals of the field, counted out, where it has no loop."""
+    r = random.Random(15)
+    texts = [hidden_repeats(r, 1)[1] for _ in range(8)] + [f"call {i} 77 or 1.2.3.{i} then a{i}@b.c 9" for i in range(8)]
+    counts = pii._counts(field_of(texts + [hidden_repeats(r, 2)[1] + " " + t for t in texts]))
+    potentials = pii.Potentials(counts)
+    for text in texts:
+        field = field_of([text])
+        n, hubs = len(field.doc), len(field.hub_doc)
+        total = np.zeros((n, 5))
+        for labels in itertools.product(range(5), repeat=n + hubs):
+            if any(f and f != x for f, x in zip(field.label, labels)):
+                continue
+            score = sum(potentials.hub[h] for h in labels[n:])
+            for i in np.flatnonzero(field.label == 0):
+                score += potentials.node[field.shape[i], labels[i]] if field.allowed[i, labels[i]] else -50.0
+            score += sum(potentials.chain[labels[a], labels[b]] for a, b in field.chain)
+            score += sum(potentials.member[labels[n + h], labels[i]] for i, h in field.members)
+            total[np.arange(n), labels[:n]] += np.exp(score)
+        assert np.allclose(pii.infer(field, potentials), total / total.sum(1, keepdims=True), atol=2e-3), text
+
+
+def test_beliefs_do_not_depend_on_neighbours():
+    r = random.Random(16)
+    texts = [hidden_repeats(r, k)[1] + f" 12 34 {k} 12 77 x@y.z {k}" for k in (0, 1, 5, 30)] + ["", "no numbers"]
+    potentials = pii.Potentials(pii._counts(field_of(texts)))
+    together, alone = pii.infer(field_of(texts), potentials), [pii.infer(field_of([t]), potentials) for t in texts]
+    assert np.allclose(together, np.concatenate(alone), atol=1e-12)
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [f"w{k}" for k in range(300)]
