@@ -29,6 +29,8 @@ RULES = {
     "duplicate_lines": ("n_dup_lines / nullif(n_lines, 0)", (0.1, 0.15, 0.2, 0.3, 0.5, 0.7)),
     "repeated_words": ("n_repeat_words / nullif(n_words, 0)", (0.05, 0.08, 0.1, 0.12, 0.15, 0.18)),
 }
+#: Largest list of labelled ids that is broadcast to where the texts are read.
+BROADCAST_ROWS = 1 << 19
 _SUM_TERMS = 5000
 
 
@@ -154,13 +156,20 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_
               text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected ones, all columns as they were.
 
-    All documents are measured for the cutoffs, then each row is judged where it is read: only
-    measures meet the labels, no text is shuffled at any size, and rows that share an id are
-    judged by their own texts.
+    Only documents labelled good are measured for the cutoffs, then each row is judged where it is
+    read: every other text is measured once.  A list of labels of more than ``BROADCAST_ROWS`` ids is not
+    broadcast; then all documents are measured for the cutoffs too, so that only measures meet the
+    labels and no text is shuffled at any size.  Rows that share an id are judged by their own texts.
     """
     stratum = F.col(stratum_col).cast("string").alias("stratum")
     good = labels.where("quality = 1").select(F.col(id_col).alias("doc_id")).distinct()
-    measured = stored(measures(docs, F.col(id_col).alias("doc_id"), stratum, text_col=text_col), "measures")
-    chosen = stored(vector_cutoffs(measured.join(good, "doc_id", "left_semi"), "stratum"), "cutoffs")
+    good = stored(good, "good")
+    if good.count() <= BROADCAST_ROWS:
+        wanted = docs.join(F.broadcast(good.select(F.col("doc_id").alias("_good"))), F.col(id_col) == F.col("_good"), "left_semi")
+        measured = measures(wanted, F.col(id_col).alias("doc_id"), stratum, text_col=text_col)
+    else:
+        every = stored(measures(docs, F.col(id_col).alias("doc_id"), stratum, text_col=text_col), "measures")
+        measured = every.join(good, "doc_id", "left_semi")
+    chosen = stored(vector_cutoffs(measured, "stratum"), "cutoffs")
     judged = judge(measures(docs, F.struct("*").alias("_row"), stratum, text_col=text_col), chosen, "stratum")
     return judged.where("kept").select("_row.*")

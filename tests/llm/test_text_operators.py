@@ -82,7 +82,7 @@ def test_binomial_tail(spark):
         assert x["p"] == pytest.approx(want, rel=1e-8)
 
 
-def test_quality_verdicts(spark):
+def test_quality_verdicts(spark, monkeypatch):
     good = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(3000)]
     bad = [(5000 + i, " ".join(f"#w{i}|{k}%" for k in range(30))) for i in range(40)]
     base = [(9000, "too short"), (9001, None), (9002, "same five words again here " * 9)]
@@ -93,6 +93,10 @@ def test_quality_verdicts(spark):
     assert all(got[i]["failed_rules"] == ["symbols"] for i, _ in bad) and all(got[i]["base_failed"] for i, _ in base)
     kept = quality.keep_good(table, labels)
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, _ in good}
+    twice = table.unionByName(docs(spark, [(1, bad[0][1]), (1, None), (None, bad[1][1]), (None, good[0][1])]))  # ids repeat or are null
+    for most in (quality.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
+        assert sorted(r["doc_id"] or -1 for r in quality.keep_good(twice, labels).collect()) == sorted([-1, *[i or -1 for i, _ in good]])
     plain = quality.quality_rules(table, labels.limit(0))  # without labels only the base rules hold
     assert {r["doc_id"] for r in plain.where("not kept").collect()} == {9000, 9001, 9002}
     assert quality.quality_rules(docs(spark, []), labels).count() == 0
