@@ -29,6 +29,8 @@ ROUNDS = 16
 LAST = 0.01
 #: How strongly a lag in coverage raises a price.
 RATE = 4.0
+#: Texts encoded in one pass, in bytes.
+SLICE_BYTES = 2 << 20
 
 
 def cut_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_id: int = 0,
@@ -47,7 +49,7 @@ def cut_pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_id:
 
     def run(batches):
         for b in batches:
-            for first, column in slices(b.column(1)):
+            for first, column in slices(b.column(1), SLICE_BYTES):
                 ids, n = encoder(tokenizer).encode(column)
                 ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
                 n = n + 1
