@@ -16,7 +16,7 @@ from tests.llm.test_tokens_and_packing import check_layout, crc
 
 def test_registered():
     names = set(entry_points.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES} and "pipeline" in names
     assert set(queries.SQL) <= names and len(corpus_pipeline.STAGES) == 5
 
 
