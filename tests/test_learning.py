@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowlake import schema as S
@@ -157,3 +158,11 @@ def test_halving(spark, flows, monkeypatch):
     assert tuning.halving(flows, [], "Attack Type", []) == []
     with pytest.raises(ValueError):
         tuning.rungs(10, 0)
+
+
+def test_scores_after_rows_were_observed(spark):
+    """Once a session has observed rows it cannot travel with tasks, so a model must not hold it."""
+    rows = spark.range(400).selectExpr("cast(id % 7 as double) as x", "if(id % 7 > 3, 'DoS', 'Bot') as l")
+    assert rows.observe(Observation(), F.count("*").alias("n")).count() == 400
+    clf = MD.fit_classifier(rows, ["x"], "l", "forest", {"max_depth": 2, "n_estimators": 2}, weighted=False)
+    assert clf.score(rows).where("prediction = l").count() == 400
