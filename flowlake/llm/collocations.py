@@ -41,29 +41,32 @@ KEPT = 1 << 20
 SALTS = 16
 NO_LANG = "und"
 
-_BREAKS = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
-_GAPS = _BREAKS | np.isin(np.arange(256), [0x20, 0x09])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_BREAK, _GAP = b".,;:!?" + bytes(range(0x0A, 0x0E)), b"\x20\x09"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: 0 for bytes of words, 1 between words, 2 between pieces.
+_KIND = bytes(2 if c in _BREAK else int(c in _GAP) for c in range(256))
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(LONGEST)]
 
 
 def split_words(column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """``(words, index, piece)``: different lower-cased words, and for every occurrence its word and piece."""
     raw, offsets = utf8(column)
-    raw = _LOWER[raw]
-    inside = ~_GAPS[raw]
-    begins = inside.copy()
+    data = raw.tobytes()
+    kind = np.frombuffer(data.translate(_KIND), np.uint8)
+    inside, apart = kind == 0, kind == 2
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < len(raw)]
     begins[edge] = inside[edge]
-    breaks = _BREAKS[raw]
+    # A text begins a piece whether or not its first byte is a break.
+    apart[edge] = True
+    ends[:-1] &= ~inside[1:] | begins[1:]
     at = np.flatnonzero(begins)
-    piece = np.cumsum(breaks, dtype=np.int32)[at] + np.searchsorted(edge, at, side="right")
-    kept = np.cumsum(inside, dtype=np.int32)
-    lengths = np.diff(np.append(kept[at] - 1, kept[-1] if len(kept) else 0))
-    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw[inside])))
+    piece = np.zeros(len(at) + 1, np.int32)
+    piece[np.searchsorted(at, np.flatnonzero(apart))] = 1
+    piece = np.cumsum(piece[:-1])
+    bounds = np.concatenate([[0], np.cumsum(np.flatnonzero(ends) + 1 - at)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data.translate(_LOWER, _BREAK + _GAP)))
     coded = words.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(), piece
 
@@ -74,13 +77,19 @@ def _of_lang(lang: str) -> np.uint64:
 
 def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes have both their bits in the table."""
-    out = np.ones(len(hashes), bool)
-    for slot in (hashes, hashes >> np.uint64(32)):
-        slot = slot & np.uint64(len(table) * 64 - 1)
-        out &= (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    held, out = table.view(np.uint8), np.ones(len(hashes), bool)
+    for shift in (0, 32):
+        some = np.flatnonzero(out)
+        slot = (hashes[some] >> np.uint64(shift) & np.uint64(len(table) * 64 - 1)).view(np.int64)
+        out[some] = held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
     return out
 
 
+def _done(old: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes were in the table of a cycle ago, if there is one."""
+    return _has(old, hashes) if old is not None else np.zeros(len(hashes), bool)
+
+
 def phrase_hashes(sums: np.ndarray, lang: str) -> np.ndarray:
     """Final hashes of phrases from the sums of their words' hashes times powers by place."""
     return mix(sums * np.uint64(0x9E3779B97F4A7C15) + _of_lang(lang))
@@ -97,43 +106,43 @@ def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndar
     if not len(index):
         return
     word_hash = word_hashes(words)[0]
-    # Different phrases of the current size: their hash sums (and text); `place` and `code` say where they are.
-    text, sums, place, code = words, word_hash, np.arange(len(index)), index.astype(np.int64)
-    hashes = phrase_hashes(sums, lang)
-    n = np.bincount(code, minlength=len(words))
+    hashes = phrase_hashes(word_hash, lang)
+    n = np.bincount(index, minlength=len(words))
     if words_too:
         yield 1, hashes, n
     if exact:
         yield 0, pa.array([""]), np.array([len(index)])
-    for size in range(1, LONGEST + 1):
-        if now is None:
-            return
-        reached = _has(now, hashes)
-        done = _has(old, hashes) if old is not None else np.zeros(len(hashes), bool)
-        if exact:
-            some = np.flatnonzero(reached)
-            yield size, text.take(pa.array(some)), n[some]
-        if size == LONGEST:
-            return
+    if now is None:
+        return
+    reached = _has(now, hashes)
+    if exact:
+        some = np.flatnonzero(reached)
+        yield 1, words.take(pa.array(some)), n[some]
+    # Occurrences of the phrases of the current size that have reached: where they are and their hash sums,
+    # and for texts which of `text` they are.  Only what is given back is sorted.
+    place = np.flatnonzero(reached[index])
+    code, text = index[place].astype(np.int64), words
+    sums, done = word_hash[code], _done(old, hashes)[code]
+    for size in range(1, LONGEST):
         # A longer phrase starts where this one and the one a word later have reached, both in one piece.
-        ok, done, last = reached[code], done[code], place + size
-        at = np.flatnonzero(ok[:-1] & ok[1:] & (place[1:] == place[:-1] + 1))
-        at = at[piece[place[at]] == piece[last[at]]]
+        at = np.flatnonzero(place[1:] == place[:-1] + 1)
+        at = at[piece[place[at]] == piece[place[at] + size]]
         if not len(at):
             return
-        pair = code[at] * len(words) + index[last[at]]
-        fresh = ~(done[at] & done[at + 1])
-        different, code, n = np.unique(pair, return_inverse=True, return_counts=True)
-        head, tail = different // len(words), different % len(words)
-        sums = sums[head] + word_hash[tail] * _POWERS[size]
-        hashes, place = phrase_hashes(sums, lang), place[at]
+        fresh, place = ~(done[at] & done[at + 1]), place[at]
+        tail = index[place + size]
+        sums = sums[at] + word_hash[tail] * _POWERS[size]
+        hashes = phrase_hashes(sums, lang)
+        if not exact:
+            yield size + 1, *np.unique(hashes[fresh], return_counts=True)
+            if size + 1 == LONGEST:
+                return
+        kept = np.flatnonzero(_has(now, hashes))
         if exact:
-            text = pc.binary_join_element_wise(text.take(pa.array(head)), words.take(pa.array(tail)), " ")
-        else:
-            wanted = np.zeros(len(different), bool)
-            wanted[code[fresh]] = True
-            some = np.flatnonzero(wanted)
-            yield size + 1, hashes[some], n[some]
+            different, code, n = np.unique(code[at[kept]] * len(words) + tail[kept], return_inverse=True, return_counts=True)
+            text = pc.binary_join_element_wise(text.take(pa.array(different // len(words))), words.take(pa.array(different % len(words))), " ")
+            yield size + 1, text, n
+        sums, place, done = sums[kept], place[kept], _done(old, hashes[kept])
 
 
 def _scan(rows: DataFrame, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowlake.llm import collocations
@@ -97,3 +99,13 @@ def test_products_beyond_64_bits(spark):
                                    "lang string, size int, phrase string, n long")
     row = collocations.collocations(counts).first()
     assert row["score"] == 2000000 * (big - 3) // (big + big - 1)
+
+
+def test_a_later_scan_sorts_only_what_is_new(monkeypatch):
+    """Where all phrases were counted a cycle ago, none of their occurrences is sorted."""
+    column, full, rows, unique = pa.array(["a b c d " * 50, "b c. d a"]), np.full(1, 2**64 - 1, np.uint64), [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **more: (rows.append(len(x)), unique(x, **more))[1])
+    assert [len(n) for _, _, n in collocations.count_slice(column, "en", False, full, full)] == [0, 0, 0]
+    assert sum(rows) == 0
+    first = [(size, int(n.sum())) for size, _, n in collocations.count_slice(column, "en", False, full, None)]
+    assert first == [(2, 199 + 2), (3, 198), (4, 197)] and sum(rows) == 596
