@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlake.llm import dedup, jaccard, packing, pii, quality
-from flowlake.llm.common import stored, table
+from flowlake.llm.common import small_batches, stored, table
 from flowlake.llm.queries import SEQUENCE
 
 
@@ -26,17 +26,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word runs the one with the smallest id stays."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; all documents stay."""
+    small_batches(spark)
     return pii.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, each with its sequence and its place there."""
-    return packing.pack(packing.cut_pieces(docs, SEQUENCE), SEQUENCE)
+    small_batches(spark)
+    return packing.pack_documents(docs, SEQUENCE)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("jaccard_join", jaccard_join),

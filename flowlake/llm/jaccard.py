@@ -36,6 +36,8 @@ STEP, TOLERANCE = 16, 4e-7
 BUCKET_BLOCK, CLUSTER_BLOCK = 256, 128
 #: Largest list of ids that is broadcast, in rows; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Texts hashed in one numpy pass, in bytes.
+TEXT_BYTES = 2 << 20
 _CHUNK = 1 << 16
 
 
@@ -73,7 +75,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at, part in slices(b.column(1), 4 << 20):
+            for at, part in slices(b.column(1), TEXT_BYTES):
                 words, of = word_hashes(part)
                 shingles, first = shingle_hashes(part, SHINGLE)
                 sig = minhashes(shingles, first)
@@ -227,7 +229,7 @@ def _shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for _, part in slices(b.column(0), 4 << 20):
+            for _, part in slices(b.column(0), TEXT_BYTES):
                 words, of = word_hashes(part)
                 shingles, first = shingle_hashes(part, SHINGLE)
                 yield pa.RecordBatch.from_arrays(

@@ -15,8 +15,8 @@ from flowlake.llm.common import utf8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Bytes hashed at a time; bounds the tables of powers.
-CHUNK = 2 << 20
+#: Bytes hashed at a time; bounds the tables of powers and what is held beside them, about 40 bytes for each.
+CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=2)

@@ -1,15 +1,18 @@
 """The queries against their SQL, and the pipeline against the same steps in plain Python."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from flowlake.llm import queries
+from flowlake.llm import packing, queries, words
 from flowlake.llm.tokens import default_path
+from tests.conftest import plan_of
 from tests.llm.test_text_operators import PATTERNS, brute_spans, measure, shingles
 from tests.llm.test_tokens_and_packing import check_layout, crc
 
@@ -75,3 +78,41 @@ def test_stages_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_large_texts_reach_workers_in_small_batches(spark):
+    """Stages with Python workers bound a batch by its bytes, and hold little beside a slice of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 700000) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES[2:]:
+            spark.conf.unset(key)
+            stage(spark, docs.limit(0), "")
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 8 << 20, name
+        spark.conf.set(key, "1m")  # a session's own number stays
+        corpus_pipeline.mask_pii(spark, docs, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    column = pa.array(["some words of a text " * 200] * 500)
+    words.word_hashes(column.slice(0, 1))
+    tracemalloc.start()
+    words.word_hashes(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * column.nbytes + (20 << 20)
+
+
+def test_a_task_that_packs_has_one_python_worker(spark, monkeypatch):
+    """Texts are cut and numbered by one map: a second one in the same tasks doubles their workers."""
+    maps, save = [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: (maps.append(plan_of(df).count("MapInArrow")), save(df, name))[1])
+    docs = spark.createDataFrame([(i, f"some text {i} " * 50) for i in range(20)], "doc_id long, text string")
+    check_layout(corpus_pipeline.pack(spark, docs, "").collect(), queries.SEQUENCE)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert maps and max(maps) == 1
