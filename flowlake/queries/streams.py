@@ -45,9 +45,12 @@ def flow_model(spark: SparkSession, d: str) -> MD.Classifier:
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return alerts_of(spark, d, flow_model(spark, d))
+
+
+def alerts_of(spark: SparkSession, d: str, clf: MD.Classifier) -> DataFrame:
     out = new_folder(spark, "alerts")
-    replay(spark, d, A.alert_sink(flow_model(spark, d), out, only_non_benign=True,
-                                  min_confidence=0.5))
+    replay(spark, d, A.alert_sink(clf, out, only_non_benign=True, min_confidence=0.5))
     return spark.read.text(out).select(
         *[F.get_json_object("value", f"$.{k}").alias(k) for k in
           ("ts", "src_ip", "dst_ip", "proto", "prediction")],
@@ -56,12 +59,15 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_alerts_check(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts of the stream that the batch job does not give, those it misses, and whether there are any."""
+    """Alerts of the stream that the batch job does not give, those it misses, and whether there are any.
+
+    Both score with one model: a forest draws its rows by their order, so a second fit may be another one.
+    """
     key = ["src_ip", "dst_ip", "proto", "ts", "packets", "prediction"]
-    flows = features(spark, d)
-    batch = scoring.to_alert_json(scoring.alerts(flow_model(spark, d).score(flows, digits=6), True, 0.5))
+    flows, clf = features(spark, d), flow_model(spark, d)
+    batch = scoring.to_alert_json(scoring.alerts(clf.score(flows, digits=6), True, 0.5))
     batch = batch.select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in key])
-    stream = stream_alerts(spark, d).select(*[F.col(k).cast("string").alias(k) for k in key])
+    stream = alerts_of(spark, d, clf).select(*[F.col(k).cast("string").alias(k) for k in key])
     sides = stream.withColumn("n", F.lit(1)).unionByName(batch.withColumn("n", F.lit(-1))).groupBy(*key).agg(
         F.sum("n").alias("n"), F.count("*").alias("seen"))
     return sides.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_stream"),

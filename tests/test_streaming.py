@@ -11,6 +11,7 @@ from flowlake.functions.scalars import name
 from flowlake.operators import flow_features as FF
 from flowlake.operators import flows as FL
 from flowlake.operators import modeling as MD
+from flowlake.queries import streams
 from flowlake.session import new_folder
 from flowlake.sources.packets import stream_packets
 from flowlake.streaming import alerts as A
@@ -145,3 +146,15 @@ def test_a_hot_pair(spark):
     play(spark, [rows[:700], rows[700:1200], rows[1200:]], A.feature_sink(out), idle_s=15, active_s=40, watermark="30 seconds")
     got = {r["flow_id"]: r["packets"] for r in spark.read.schema("flow_id long, packets long").json(out).collect()}
     assert {k: v for k, v in got.items() if k != -1} == dict(Counter(flows_by_walk(rows, 15, 40).values()))
+
+
+def test_the_check_scores_both_sides_with_one_model(spark, sf_dir, monkeypatch):
+    """A second fit may draw other rows, and then alerts differ though stream and batch agree."""
+    fitted, fit = [], streams.flow_model
+
+    def other_each_time(spark, d):
+        fitted.append(fit(spark, d))
+        return fitted[-1] if len(fitted) == 1 else MD.Classifier(fitted[0].model, fitted[0].features, fitted[0].labels[::-1])
+
+    monkeypatch.setattr(streams, "flow_model", other_each_time)
+    assert tuple(streams.stream_alerts_check(spark, sf_dir).first()) == (0, 0, True)
