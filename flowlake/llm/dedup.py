@@ -11,18 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import SPACE, rows_of, stored
+from flowlake.llm.common import rows_of, stored
 
 #: A text with more than this share of the rows is settled map-side; at most ``1 / SHARE`` are.
 SHARE = 1 / 512
 #: Longest list of copies that is broadcast to where the texts are read; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
+#: Runs of white space that are not one space already; the lone spaces of a text are most of its runs.
+_RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def text_digest(text: str | Column) -> Column:
     """SHA-256 of the text with each run of white space as one space; null counts as empty."""
     text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
-    return F.sha2(F.regexp_replace(text, f"{SPACE}+", " "), 256)
+    return F.sha2(F.regexp_replace(text, _RUNS, " "), 256)
 
 
 def _settled(pairs: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def test_exact_dedup(spark):
     assert dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_digests_of_every_kind_of_white_space(spark):
+    """Only runs that change are replaced: lone spaces, most of a text's runs, are not touched."""
+    rows = [(i, "x" + "".join(p) + "y" + "".join(reversed(p))) for i, p in enumerate(itertools.chain(
+        *(itertools.product(" \t\n\x0b\x0c\r\x1f\xa0a", repeat=k) for k in range(4))))]
+    got = {r[0]: r[1] for r in docs(spark, rows).select("doc_id", dedup.text_digest("text")).collect()}
+    assert got == {i: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t).encode()).hexdigest() for i, t in rows}
+    assert not re.search(dedup._RUNS, "words between lone spaces ")
+
+
 def test_drop_copies(spark):
     got = dedup.drop_copies(docs(spark, COPIES * 2))
     assert got.columns == docs(spark, []).columns
