@@ -6,16 +6,20 @@ the last and without the first word have reached the threshold in the shards rea
 is counted from the next shard on until each shard has been read once.  One scan thus counts
 phrases of all lengths, and the last cycles only those that became active late.
 
-Shards are counted by 64-bit hashes of the phrases.  What has reached the threshold is looked up
-in a bit table of fixed size, sent to the tasks.  Bits are only added, so a phrase is counted in
-the scans between the first table that has its parts and the one a cycle later: in each shard
-once.  A full table makes phrases active too early, never too late; two phrases of one hash make
-a count too high, never too low.  So no frequent phrase is missed, and a last scan counts what has
-reached the threshold by its text: only those counts are returned.
+Shards are counted by hashes of the phrases: 64 bits and, from other functions of the words, 24
+bits to check them.  What has reached the threshold is looked up in a bit table of fixed size,
+sent to the tasks.  Bits are only added, so a phrase is counted in the scans between the first
+table that has its parts and the one a cycle later: in each shard once.  A full table makes
+phrases active too early, never too late, so no frequent phrase is missed.
+
+A count also carries the part of a shard that had its phrase first.  A last scan takes the text of
+each phrase that has reached the threshold from that part alone, told by a second bit table, so
+it gives each text about once, however many tasks have read it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +39,7 @@ SHARDS = 3
 LONGEST, LEAST, ROWS, HIDES = 4, 30, 2000, 80
 #: Texts counted in one numpy pass, in bytes; bits of the table of phrases that have reached the threshold.
 SLICE_BYTES, BITS = 8 << 20, 1 << 26
-#: Counts by text that a task adds up before it hands them on.
+#: Texts that a task collects before it hands them on.
 KEPT = 1 << 20
 #: Parts that the joins on a hot word are dealt into.
 SALTS = 16
@@ -46,6 +50,11 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: 0 for bytes of words, 1 between words, 2 between pieces.
 _KIND = bytes(2 if c in _BREAK else int(c in _GAP) for c in range(256))
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(LONGEST)]
+_CHECK_POWERS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(LONGEST)]
+#: Bits that check a hash; with the size in the bits below they are a tag.
+_CHECK, _SIZE = 24, 3
+#: Bits for the part of a shard, as seen by the hash, and a factor that spreads shard and part.
+_PART, _SPREAD = 16, 0x9E3779B97F5
 
 
 def split_words(column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
@@ -71,17 +80,77 @@ def split_words(column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.
     return coded.dictionary, coded.indices.to_numpy(), piece
 
 
-def _of_lang(lang: str) -> np.uint64:
-    return np.uint64(zlib.crc32(lang.encode()) + 1)
+def _of_lang(lang: str, checks: bool = False) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=16).digest(), np.uint64)[int(checks)]
+
+
+def word_checks(words: pa.StringArray, lang: str) -> np.ndarray:
+    """Hashes of different words that share nothing with :func:`word_hashes`: of CRC and length."""
+    crc = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint64)
+    return mix((crc | lengths << 32) + _of_lang(lang, True))
+
+
+def _some_checks(words: pa.StringArray, wanted: np.ndarray, lang: str) -> np.ndarray:
+    """The checks of the wanted words, 0 for the others."""
+    out, some = np.zeros(len(words), np.uint64), np.flatnonzero(wanted)
+    out[some] = word_checks(words.take(pa.array(some)), lang)
+    return out
+
+
+def _checks_at(place: np.ndarray, size: int, index: np.ndarray, word_check: np.ndarray) -> np.ndarray:
+    """Checks of the phrases of ``size`` words that begin at ``place``."""
+    sums = word_check[index[place]]
+    for k in range(1, size):
+        sums = sums + word_check[index[place + k]] * _CHECK_POWERS[k]
+    return sums >> 64 - _CHECK
+
+
+def _tags(checks: np.ndarray, size: int) -> np.ndarray:
+    return (checks << _SIZE | size).astype(np.uint32).view(np.int32)
+
+
+def _counted(hashes: np.ndarray, checks: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """``((hashes, checks), counts)`` of the different pairs of hash and check.
+
+    Two plain sorts, as an indirect one takes ten times as long: of the hashes, and of their high
+    bits with the checks below.  Where high bits are one hash's and one check's the two agree row
+    by row; the few other rows are sorted as pairs.
+    """
+    alone, n = np.unique(hashes, return_counts=True)
+    both = np.sort(hashes >> _CHECK << _CHECK | checks)
+    both = both[np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))] if len(both) else both
+    high, high_too = alone >> _CHECK, both >> _CHECK
+    shared = np.concatenate([x[1:][x[1:] == x[:-1]] for x in (high, high_too)])
+    if not len(shared):
+        return (alone, both & ((1 << _CHECK) - 1)), n
+    mine, mine_too = ~np.isin(high, shared), ~np.isin(high_too, shared)
+    rest = np.isin(hashes >> _CHECK, shared)
+    hashes, checks = hashes[rest], checks[rest]
+    order, first = _different(hashes, checks)
+    at = order[first]
+    return ((np.concatenate([alone[mine], hashes[at]]), np.concatenate([both[mine_too] & ((1 << _CHECK) - 1), checks[at]])),
+            np.concatenate([n[mine], np.diff(first, append=len(order))]))
+
+
+def _different(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, first)``: the rows sorted by hash and check, and where in that order each different pair begins."""
+    order = np.lexsort((checks, hashes))
+    h, c = hashes[order], checks[order]
+    new = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), new]))
 
 
 def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes have both their bits in the table."""
-    held, out = table.view(np.uint8), np.ones(len(hashes), bool)
-    for shift in (0, 32):
-        some = np.flatnonzero(out)
-        slot = (hashes[some] >> np.uint64(shift) & np.uint64(len(table) * 64 - 1)).view(np.int64)
-        out[some] = held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+    held, mask = table.view(np.uint8), np.uint64(len(table) * 64 - 1)
+
+    def bit(slot):
+        return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool)
+
+    out = bit((hashes & mask).view(np.int64))
+    some = np.flatnonzero(out)
+    out[some] = bit((hashes[some] >> 32 & mask).view(np.int64))
     return out
 
 
@@ -95,33 +164,37 @@ def phrase_hashes(sums: np.ndarray, lang: str) -> np.ndarray:
     return mix(sums * np.uint64(0x9E3779B97F4A7C15) + _of_lang(lang))
 
 
-def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> Iterator[tuple]:
-    """``(size, phrases, counts)`` of one slice of texts of one language: phrases as hashes, or exact as texts.
+def _owner(hashes: np.ndarray, shard: int, part: int | None) -> np.ndarray:
+    """What stands in the table of owners for phrases that a part of a shard had first; without a part, for any phrase."""
+    if part is None:
+        return hashes
+    seen = (hashes ^ (part & (1 << _PART) - 1)) & ((1 << _PART) - 1)
+    return hashes ^ (seen | shard << _PART) * np.uint64(_SPREAD)
+
+
+def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndarray | None, old: np.ndarray | None) -> Iterator[tuple]:
+    """``(size, (hashes, checks), counts)`` of one slice of texts of one language.
 
-    Hashes are those of words, where wanted, and of longer phrases whose parts are in the table of
-    ``now`` and were not all in the table of a cycle ago; texts are those of all phrases that have
-    reached the threshold, and size 0 counts all words.
+    They are those of words, where wanted, and of longer phrases whose parts are in the table of
+    ``now`` and were not all in the table of a cycle ago.
     """
     words, index, piece = split_words(column)
     if not len(index):
         return
     word_hash = word_hashes(words)[0]
     hashes = phrase_hashes(word_hash, lang)
-    n = np.bincount(index, minlength=len(words))
     if words_too:
-        yield 1, hashes, n
-    if exact:
-        yield 0, pa.array([""]), np.array([len(index)])
+        word_check = word_checks(words, lang)
+        yield 1, (hashes, word_check >> 64 - _CHECK), np.bincount(index, minlength=len(words))
     if now is None:
         return
     reached = _has(now, hashes)
-    if exact:
-        some = np.flatnonzero(reached)
-        yield 1, words.take(pa.array(some)), n[some]
-    # Occurrences of the phrases of the current size that have reached: where they are and their hash sums,
-    # and for texts which of `text` they are.  Only what is given back is sorted.
+    if not words_too:
+        word_check = _some_checks(words, reached, lang)
+    # Occurrences of the phrases of the current size that have reached: where they are and their hash sums.
+    # Only what is given back is sorted.
     place = np.flatnonzero(reached[index])
-    code, text = index[place].astype(np.int64), words
+    code = index[place]
     sums, done = word_hash[code], _done(old, hashes)[code]
     for size in range(1, LONGEST):
         # A longer phrase starts where this one and the one a word later have reached, both in one piece.
@@ -130,60 +203,119 @@ def count_slice(column: pa.StringArray, lang: str, words_too: bool, now: np.ndar
         if not len(at):
             return
         fresh, place = ~(done[at] & done[at + 1]), place[at]
-        tail = index[place + size]
-        sums = sums[at] + word_hash[tail] * _POWERS[size]
+        sums = sums[at] + word_hash[index[place + size]] * _POWERS[size]
         hashes = phrase_hashes(sums, lang)
-        if not exact:
-            yield size + 1, *np.unique(hashes[fresh], return_counts=True)
-            if size + 1 == LONGEST:
-                return
+        yield size + 1, *_counted(hashes[fresh], _checks_at(place[fresh], size + 1, index, word_check))
+        if size + 1 == LONGEST:
+            return
         kept = np.flatnonzero(_has(now, hashes))
-        if exact:
-            different, code, n = np.unique(code[at[kept]] * len(words) + tail[kept], return_inverse=True, return_counts=True)
-            text = pc.binary_join_element_wise(text.take(pa.array(different // len(words))), words.take(pa.array(different % len(words))), " ")
-            yield size + 1, text, n
         sums, place, done = sums[kept], place[kept], _done(old, hashes[kept])
 
 
-def _scan(rows: DataFrame, words_too: bool, now: np.ndarray | None, old: np.ndarray | None, exact: bool = False) -> DataFrame:
-    """Counts of some texts, by hash added up slice by slice, by text over as many slices as ``KEPT`` rows hold.
+def name_slice(column: pa.StringArray, lang: str, every: np.ndarray, owners: np.ndarray, shard: int, part: int | None) -> Iterator[tuple]:
+    """``(hashes, tags, texts, count)`` of the phrases that this part of a shard is to name; tag 0 counts all words."""
+    words, index, piece = split_words(column)
+    if not len(index):
+        return
+    yield np.zeros(1, np.uint64), np.zeros(1, np.int32), pa.array([""]), len(index)
+    word_hash = word_hashes(words)[0]
+    hashes = phrase_hashes(word_hash, lang)
+    reached = _has(every, hashes)
+    word_check = _some_checks(words, reached, lang)
+    own = np.flatnonzero(reached & _has(owners, _owner(hashes, shard, part)))
+    yield hashes[own], _tags(word_check[own] >> 64 - _CHECK, 1), words.take(pa.array(own)), 0
+    place = np.flatnonzero(reached[index])
+    sums = word_hash[index[place]]
+    for size in range(1, LONGEST):
+        at = np.flatnonzero(place[1:] == place[:-1] + 1)
+        at = at[piece[place[at]] == piece[place[at] + size]]
+        if not len(at):
+            return
+        place = place[at]
+        sums = sums[at] + word_hash[index[place + size]] * _POWERS[size]
+        hashes = phrase_hashes(sums, lang)
+        kept = np.flatnonzero(_has(every, hashes))
+        sums, place, hashes = sums[kept], place[kept], hashes[kept]
+        own = np.flatnonzero(_has(owners, _owner(hashes, shard, part)))
+        checks = _checks_at(place[own], size + 1, index, word_check)
+        order, first = _different(hashes[own], checks)
+        own, checks = own[order[first]], checks[order[first]]
+        text = pc.binary_join_element_wise(*(words.take(pa.array(index[place[own] + k])) for k in range(size + 1)), " ")
+        yield hashes[own], _tags(checks, size + 1), text, 0
+
+
+def _parts_of(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.StringArray]]:
+    """``(lang, texts)`` of a batch in slices of one language each."""
+    langs = batch.column(0).dictionary_encode()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        for _, part in slices(batch.column(1).filter(pc.equal(langs.indices, k)), SLICE_BYTES):
+            yield lang, part
 
-    The tables travel compressed.
-    """
-    sent = [None if t is None else zlib.compress(t.tobytes(), 1) for t in (now, old)]
-    names = ["lang", "phrase", "size", "n"] if exact else ["h", "size", "n"]
+
+def _sent(*tables: np.ndarray | None) -> list[bytes | None]:
+    """The tables travel compressed."""
+    return [None if t is None else zlib.compress(t.tobytes(), 1) for t in tables]
+
+
+def _received(sent: list[bytes | None]) -> list[np.ndarray | None]:
+    return [None if t is None else np.frombuffer(zlib.decompress(t), np.uint64) for t in sent]
+
+
+def _scan(rows: DataFrame, step: int, now: np.ndarray | None, old: np.ndarray | None) -> DataFrame:
+    """``(h, tag, n, place)``: counts of some texts by hash, added up slice by slice, with the step and the part that has them."""
+    sent = _sent(now, old)
 
     def run(batches):
-        now, old = (None if t is None else np.frombuffer(zlib.decompress(t), np.uint64) for t in sent)
-        kept, n_kept = [], 0
+        now, old = _received(sent)
         for b in batches:
-            langs = b.column(0).dictionary_encode()
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                own = b.column(1).filter(pc.equal(langs.indices, k))
-                for _, part in slices(own, SLICE_BYTES):
-                    for size, phrases, n in count_slice(part, lang, words_too, now, old, exact):
-                        head = ([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), phrases] if exact
-                                else [pa.array(phrases.view(np.int64))])
-                        counts = pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())], names)
-                        if not exact:
-                            yield counts
-                            continue
-                        kept, n_kept = [*kept, counts], n_kept + len(n)
+            for lang, part in _parts_of(b):
+                for size, (hashes, checks), n in count_slice(part, lang, step < SHARDS, now, old):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(_tags(checks, size)), pa.array(n, pa.int64())],
+                                                     ["h", "tag", "n"])
+
+    seen = F.spark_partition_id().cast("long").bitwiseXOR(F.col("h")).bitwiseAND(F.lit((1 << _PART) - 1))
+    return rows.mapInArrow(run, "h long, tag int, n long").select("h", "tag", "n", (F.lit(step << _PART).cast("long") + seen).alias("place"))
+
+
+def _named(texts: DataFrame, every: np.ndarray, owners: np.ndarray, placed: bool = True) -> DataFrame:
+    """``(h, tag, lang, phrase, n)``: texts of phrases from their owners, or from all parts, and with tag 0 the words of a language."""
+    sent = _sent(every, owners)
+    names = ["h", "tag", "lang", "phrase", "n"]
+
+    def scan(shard):
+        def run(batches):
+            every, owners = _received(sent)
+            kept, n_kept = [], 0
+            for b in batches:
+                part = b.column(2)[0].as_py() if placed and b.num_rows else None
+                for lang, own in _parts_of(b):
+                    for hashes, tags, phrases, n in name_slice(own, lang, every, owners, shard, part):
+                        kept.append(pa.RecordBatch.from_arrays([
+                            pa.array(hashes.view(np.int64)), pa.array(tags), pa.array([lang], pa.string()).take(pa.array(np.zeros(len(tags), np.int32))),
+                            phrases, pa.array(np.full(len(tags), n, np.int64))], names))
+                        n_kept += len(tags)
                     if n_kept > KEPT:
                         whole = _added_up(kept)
                         kept, n_kept = whole.to_batches(), whole.num_rows
                         if n_kept > KEPT // 2:
                             yield from kept
                             kept, n_kept = [], 0
-        if kept:
-            yield from _added_up(kept).to_batches()
+            if kept:
+                yield from _added_up(kept).to_batches()
 
-    return rows.mapInArrow(run, "lang string, phrase string, size int, n long" if exact else "h long, size int, n long")
+        rows = texts.where(F.col("shard") == shard).select("lang", "text", F.spark_partition_id().alias("part"))
+        return rows.mapInArrow(run, "h long, tag int, lang string, phrase string, n long")
+
+    out = scan(0)
+    for shard in range(1, SHARDS):
+        out = out.unionByName(scan(shard))
+    return out
 
 
 def _added_up(parts: list[pa.RecordBatch]) -> pa.Table:
-    whole = pa.Table.from_batches(parts).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
-    return whole.select(["lang", "phrase", "size", "n_sum"]).rename_columns(["lang", "phrase", "size", "n"]).combine_chunks()
+    keys = ["h", "tag", "lang", "phrase"]
+    whole = pa.Table.from_batches(parts).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return whole.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks()
 
 
 def _bits(reached: DataFrame) -> np.ndarray:
@@ -197,6 +329,13 @@ def _bits(reached: DataFrame) -> np.ndarray:
     return table
 
 
+def _owners(reached: DataFrame) -> np.ndarray:
+    """The bit table of which part of which shard is to name each of the phrases ``(h, place)``."""
+    shard = F.shiftright("place", _PART) % SHARDS
+    seen = F.col("place").bitwiseAND(F.lit((1 << _PART) - 1))
+    return _bits(reached.select(F.col("h").bitwiseXOR((shard * (1 << _PART) + seen) * F.lit(_SPREAD)).alias("h")))
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang") -> DataFrame:
     """``(lang, size, phrase, n)``: every phrase of 1 to 4 words with ``n >= least``, and size 0 for all words of a language.
@@ -213,35 +352,49 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", t
     texts = spark.read.schema("lang string, text string, shard int").parquet(folder)
     step, state, path, tables = 0, None, None, []
     while True:
-        now = _bits(state.where(f"reached is not null and size < {LONGEST}")) if state is not None else None
+        now = _bits(state.where(f"reached is not null and (tag & 7) < {LONGEST}")) if state is not None else None
         old = tables[step - SHARDS] if step >= SHARDS else None
         if step >= SHARDS and np.array_equal(now, old if old is not None else np.zeros_like(now)):
             break  # whatever could become active has been counted in every shard since
         tables.append(now)
         if step >= SHARDS:
             tables[step - SHARDS] = None
-        counted = _scan(texts.where(F.col("shard") == step % SHARDS).select("lang", "text"), step < SHARDS, now, old)
-        rows = counted.select("h", "size", "n", F.lit(step).alias("first"), F.lit(None).cast("int").alias("reached"))
+        counted = _scan(texts.where(F.col("shard") == step % SHARDS).select("lang", "text"), step, now, old)
+        rows = counted.withColumn("reached", F.lit(None).cast("int"))
         if state is not None:
             rows = rows.unionByName(state)
-        merged = rows.groupBy("h").agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.min("first").alias("first"), F.min("reached").alias("reached"))
+        merged = rows.groupBy("h", "tag").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.min("reached").alias("reached"))
         merged = merged.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step))))
         # A phrase that was read in every shard and is rare stays so.
-        merged = merged.where((F.col("reached").isNotNull()) | (F.col("first") > step - SHARDS + 1))
+        merged = merged.where((F.col("reached").isNotNull()) | (F.shiftright("place", _PART) > step - SHARDS + 1))
         before, path = path, new_folder(spark, f"phrases-{step}")
         merged.write.parquet(path)
         state = spark.read.schema(merged.schema).parquet(path)
         if before:
             remove(spark, before)
         step += 1
-    every = _bits(state.where("reached is not null"))
-    exact = _scan(texts.select("lang", "text"), False, every, None, True).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    out = stored(exact.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    reached = state.where("reached is not null")
+    every = _bits(reached)
+    names = stored(_named(texts, every, _owners(reached)), "names")
+    out = _with_names(reached, names)
+    if out.where("size > 0").count() < reached.count():
+        # Parts can be cut anew if the cluster changes meanwhile; what its owner did not name then, any part names.
+        left = stored(reached.join(names, ["h", "tag"], "left_anti"), "unnamed")
+        more = stored(_named(texts, every, _bits(left), False).where("tag <> 0"), "names")
+        out = _with_names(reached, names.unionByName(more))
     for old in (folder, path):
         remove(spark, old)
     return out
 
 
+def _with_names(reached: DataFrame, names: DataFrame) -> DataFrame:
+    """``(lang, size, phrase, n)`` of the phrases that have a name, and the words of each language as size 0."""
+    texts = names.where("tag <> 0").select("h", "tag", "lang", "phrase").dropDuplicates(["h", "tag"])
+    words = names.where("tag = 0").groupBy("lang").agg(F.lit(0).alias("size"), F.lit("").alias("phrase"), F.sum("n").alias("n"))
+    return stored(texts.join(reached.select("h", "tag", "n"), ["h", "tag"])
+                  .select("lang", F.col("tag").bitwiseAND(F.lit(7)).alias("size"), "phrase", "n").unionByName(words), "phrases")
+
+
 def collocations(counts: DataFrame, rows: int = ROWS) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)`` from :func:`phrase_counts`, the best ``rows`` of each language.
 

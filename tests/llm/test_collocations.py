@@ -109,3 +109,39 @@ def test_a_later_scan_sorts_only_what_is_new(monkeypatch):
     assert sum(rows) == 0
     first = [(size, int(n.sum())) for size, _, n in collocations.count_slice(column, "en", False, full, None)]
     assert first == [(2, 199 + 2), (3, 198), (4, 197)] and sum(rows) == 596
+
+
+def test_the_last_scan_gives_each_text_about_once(spark, monkeypatch):
+    """Twelve parts that all have the same phrases: a row for each phrase, not one for each phrase and part."""
+    words = [f"w{k}" for k in range(40)]
+    table = spark.createDataFrame([(i, " ".join(words), "en") for i in range(480)], "doc_id long, text string, lang string").repartition(12)
+    made, was = [], collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df, purpose, **more: (made.append((purpose, df.count())), was(df, purpose, **more))[1])
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        counts = collocations.phrase_counts(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    phrases = 40 + 39 + 38 + 37
+    assert len(counts) == phrases + 1 and {r["n"] for r in counts if r["size"]} == {480}
+    assert dict(made)["names"] <= phrases + 3 * 12 + 20
+
+
+def test_texts_that_no_owner_names_are_named_by_any_part(spark, monkeypatch):
+    table = spark.createDataFrame([(i, "a b c. b c", "en") for i in range(40)], "doc_id long, text string, lang string").repartition(4)
+    want = sorted(map(tuple, collocations.phrase_counts(table).collect()))
+    monkeypatch.setattr(collocations, "_owners", lambda reached: np.zeros(collocations.BITS // 64, np.uint64))
+    assert sorted(map(tuple, collocations.phrase_counts(table).collect())) == want and len(want) == 7
+
+
+def test_pairs_of_hash_and_check_are_counted_apart():
+    r = np.random.default_rng(1)
+    for n, most in ((0, 1), (1, 1), (1000, 50), (50_000, 9000)):
+        hashes = r.integers(0, most, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= np.where(r.random(n) < 0.1, 5, 0).astype(np.uint64)  # other hashes with the same high bits
+        checks = r.integers(0, 3, n).astype(np.uint64)
+        (h, c), counts = collocations._counted(hashes, checks)
+        got = dict(zip(zip(h.tolist(), c.tolist(), strict=True), counts.tolist(), strict=True))
+        assert len(got) == len(h) and got == Counter(zip(hashes.tolist(), checks.tolist(), strict=True))
