@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from flowlake.operators import modeling as MD
 from flowlake.operators import splits, tuning
 from flowlake.plans import train_job as J
 from flowlake.session import new_folder
+from tests.conftest import plan_of
 
 SMALL = {"max_depth": 2, "n_estimators": 2, "learning_rate": 0.3}
 
@@ -69,6 +71,20 @@ def test_boosted_classes(spark, flows):
                                   "Probability_Normal_Traffic"]
 
 
+def test_one_versus_rest_is_scored_by_generated_code(flows):
+    """The same classes and probabilities as from the model's own columns, without a lambda for each row."""
+    clf = MD.fit_classifier(flows, ["Idle Min", "Active Max"], "Attack Type", "boosted", SMALL, weighted=False)
+    rows = MD.assemble(flows, clf.features)
+    out = MD.with_probabilities(clf.model, rows)
+    assert out.columns == [*rows.columns, "prediction_index", MD.PROBABILITIES]
+    raw = vector_to_array("rawPrediction")
+    each = F.transform(raw, lambda r: 1.0 / (1.0 + F.exp(-2.0 * r)))
+    whole = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
+    want = clf.model.transform(rows).select(S.ROW_ORD, "prediction", F.transform(each, lambda p: p / whole))
+    assert out.select(S.ROW_ORD, "prediction_index", MD.PROBABILITIES).exceptAll(want).count() == 0 and out.count() == 600
+    assert "lambda" not in plan_of(out) and "lambda" in plan_of(want)
+
+
 def test_unseen_classes_do_not_count(flows):
     train = flows.where(F.col("Attack Type") != "Bot")
     clf = MD.fit_classifier(train, ["Idle Min"], "Attack Type", "forest",
