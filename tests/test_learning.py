@@ -85,6 +85,14 @@ def test_one_versus_rest_is_scored_by_generated_code(flows):
     assert "lambda" not in plan_of(out) and "lambda" in plan_of(want)
 
 
+def test_attribution_keeps_a_variant_in_one_row(flows):
+    clf = MD.fit_classifier(flows, ["Idle Min", "Active Max"], "Attack Type", "boosted", SMALL, weighted=False)
+    out = MD.attribution(clf, flows, [S.ROW_ORD], n=100)
+    assert "lambda" not in plan_of(out)
+    assert {(r["feature"], r["class"]) for r in out.collect()} == {(f, c) for f in clf.features for c in clf.labels}
+    assert MD.attribution(clf, flows.limit(0), [S.ROW_ORD], n=100).count() == 0
+
+
 def test_unseen_classes_do_not_count(flows):
     train = flows.where(F.col("Attack Type") != "Bot")
     clf = MD.fit_classifier(train, ["Idle Min"], "Attack Type", "forest",
