@@ -141,6 +141,17 @@ def test_training_run(spark, flows):
     assert spark.read.csv(f"{folder}/feature_importance", header=True).count() == 3
 
 
+def test_training_rows_are_cached_for_several_fits_only(flows, monkeypatch):
+    """One fit stores its own vectors; a second store of the same rows only takes memory."""
+    stored, persist = [], type(flows).persist
+    monkeypatch.setattr(type(flows), "persist", lambda df, *level: stored.append(df.columns) or persist(df, *level))
+    for cv in (False, True):
+        stored.clear()
+        out = J.train_model(flows, J.TrainConfig(kind="forest", strategy="file", params={"max_depth": 2, "n_estimators": 2}, folds=2, cv=cv))
+        assert any("fold" in c for c in stored) is cv
+        assert out.n_train == 500 and out.n_test == 100 and len(out.cv_scores) == 2 * cv
+
+
 def test_listed_search_and_bad_mixes(spark, flows, monkeypatch):
     monkeypatch.setitem(tuning.LISTED_SPACE, "n_estimators", [2])
     monkeypatch.setitem(tuning.LISTED_SPACE, "max_depth", [2])
